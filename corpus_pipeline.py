@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import bpe, common, exact_dedup, mixing, toxicity
+from millrace.llm import bpe, common, exact_dedup, mixing, ngram_join, toxicity
 from millrace.llm.queries import read, tokenizer
 
 
@@ -22,6 +22,11 @@ def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return exact_dedup.deduplicate(docs, keep="max")
 
 
+def ngram_join_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents linked by the Jaccard similarity of their 5-word shingles the one with the least doc_id stays."""
+    return ngram_join.one_of_each(docs)
+
+
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every source gets the same share; a document may come several times or not at all."""
     return mixing.mix(docs).select(*docs.columns)
@@ -35,6 +40,7 @@ def byte_bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 STAGES = [
     ("toxicity", toxicity_stage),
     ("exact dedup", exact_dedup_stage),
+    ("n-gram Jaccard join", ngram_join_stage),
     ("mixing", mixing_stage),
     ("byte-level BPE", byte_bpe_stage),
 ]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import bpe, exact_dedup, mixing, toxicity
+from millrace.llm import bpe, exact_dedup, mixing, ngram_join, toxicity
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -40,6 +40,10 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(read(spark, sf_dir, "documents"), *tokenizer()).drop("whole")
 
 
+def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.ngram_components(read(spark, sf_dir, "documents"))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every source gets the same share of as many characters as there are."""
     mixed = mixing.mix(read(spark, sf_dir, "documents"))
@@ -77,6 +81,7 @@ QUERIES = {
     "op3_exact_dedup": op3_exact_dedup,
     "op4_toxicity": op4_toxicity,
     "op5_byte_bpe": op5_byte_bpe,
+    "op7_ngram_join": op7_ngram_join,
     "op9_mixing": op9_mixing,
 }
 ORACLE_SQL = {"op3_exact_dedup": OP3_SQL, "op9_mixing": OP9_SQL}
