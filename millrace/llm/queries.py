@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import bpe, exact_dedup, fingerprints, mixing, ngram_join, toxicity
+from millrace.llm import bpe, exact_dedup, fingerprints, license_scan, mixing, ngram_join, pii, secret_scan, toxicity, url_filter
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -19,6 +19,12 @@ def tokenizer() -> tuple[str, str]:
     return public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files of a tree: source, language, then the thousand that the id is in."""
+    path = F.concat_ws("/", F.coalesce("source", F.lit("-")), F.coalesce("lang", F.lit("-")), F.floor(F.col("doc_id") / 1000).cast("string"), F.col("doc_id").cast("string"))
+    return license_scan.scan(read(spark, sf_dir, "documents").withColumn("path", path))
+
+
 def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edited_pairs(read(spark, sf_dir, "documents"))
 
@@ -44,10 +50,26 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(read(spark, sf_dir, "documents"), *tokenizer()).drop("whole")
 
 
+#: Stands for a key that would come from a secret store.
+PSEUDONYM_KEY = "example-key"
+
+
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.col("text")
+    docs = read(spark, sf_dir, "documents")
+    return docs.select("doc_id", F.size(pii.found_values(text)).cast("long").alias("n_replaced"), pii.pseudonym_text(text, PSEUDONYM_KEY).alias("text"))
+
+
 def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.ngram_components(read(spark, sf_dir, "documents"))
 
 
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.scan(read(spark, sf_dir, "documents"))
+    counts = [secret_scan.count_of(F.col("base"), kind).alias(f"n_{kind}") for kind in ("assign", "access", "hex")]
+    return found.select("doc_id", *counts, F.sha2(secret_scan.joined(F.col("base")), 256).alias("base_sha256"), secret_scan.joined(F.concat("base", "random")).alias("spans"))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every source gets the same share of as many characters as there are."""
     mixed = mixing.mix(read(spark, sf_dir, "documents"))
@@ -81,12 +103,24 @@ WITH RECURSIVE sizes AS (
 SELECT doc_id, source, unnest(range(n)) AS copy FROM counts WHERE n > 0
 """
 
+#: The rules of the URL query: host and path, and the verdict.
+URL_RULES = [("com/en/", "block"), ("example.com/en/7", "allow"), ("net/de/", "allow"), ("example.net/de/8", "block"), ("org/es/", "block")]
+
+
+def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(read(spark, sf_dir, "pages"), URL_RULES, url_filter.train(spark)).drop("score")
+
+
 QUERIES = {
+    "op1_license_scan": op1_license_scan,
     "op2_fingerprints": op2_fingerprints,
     "op3_exact_dedup": op3_exact_dedup,
     "op4_toxicity": op4_toxicity,
     "op5_byte_bpe": op5_byte_bpe,
+    "op6_pii": op6_pii,
     "op7_ngram_join": op7_ngram_join,
+    "op8_secret_scan": op8_secret_scan,
     "op9_mixing": op9_mixing,
+    "op10_url_filter": op10_url_filter,
 }
 ORACLE_SQL = {"op3_exact_dedup": OP3_SQL, "op9_mixing": OP9_SQL}
