@@ -73,10 +73,10 @@ def crc_shard(texts: list[Column], shards: int) -> Column:
 def fnv32a(text: Column) -> Column:
     """The 32-bit FNV-1a hash of UTF-8 bytes, as a long."""
     data = F.hex(F.encode(text, "UTF-8"))
-    at = F.when(F.length(data) > 0, F.sequence(F.lit(0), F.length(data) / 2 - 1)).otherwise(F.array().cast("array<double>"))
+    at = F.when(F.length(data) > 0, F.sequence(F.lit(0), (F.length(data) / 2 - 1).cast("int"))).otherwise(F.array().cast("array<int>"))
 
     def step(h: Column, i: Column) -> Column:
-        byte = F.conv(data.substr((i * 2 + 1).cast("int"), F.lit(2)), 16, 10).cast("bigint")
+        byte = F.conv(data.substr(i * 2 + 1, F.lit(2)), 16, 10).cast("bigint")
         return (h.bitwiseXOR(byte) * 16777619).bitwiseAND(F.lit(0xFFFFFFFF))
 
     return F.aggregate(at, F.lit(2166136261).cast("bigint"), step)
