@@ -14,8 +14,11 @@ product of the matrix with its transpose is formed only where that can happen:
   tell.  The last round pairs, in what is left, all rows of different components.  So a
   large group of near copies costs about its size, not its square, and no link
   between components is lost.
-* Pairs whose sizes, or whose places of the shared column, bound the overlap below what
-  is needed are discarded; for the others the overlap is counted over the whole rows.
+* Pairs are discarded where a bound on the overlap is below what is needed: from the sizes,
+  from the place of a shared column, then from the number of first columns they share,
+  as all other common columns come after the first ones of one of the two.  For
+  what is left the overlap is counted over the whole rows; only rows of such
+  pairs are shuffled.
 
 Frequencies are counted over all n-grams of all documents into 2**SLOT_BITS hashed
 slots, so the table that orders columns has a fixed size (16 MB) and may be broadcast.
@@ -48,7 +51,7 @@ FREQUENCY_BITS, PARTS = 24, 1024
 PART_SLOTS = (1 << FREQUENCY_BITS) // PARTS
 #: Rounds of stars before all pairs of different components are formed.
 STAR_ROUNDS = 3
-WORDS_KEPT = 400_000
+WORDS_KEPT = 200_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _SHIFT = np.uint64(29)
 
@@ -197,22 +200,34 @@ def _entries(width: int, percent: int, levels, columns) -> Callable:
 
 
 def _rows(width: int, wanted) -> Callable:
-    """(key, grams) of the rows whose key is in the slot map ``wanted``, once a task."""
+    """(key, doc_id, grams) of the rows whose key is in the slot map ``wanted``, once a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         slots, seen = wanted.value, set()
         for batch in batches:
-            keys, rows = [], []
-            for text in batch.column(0):
+            keys, ids, rows = [], [], []
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 grams = ngrams(text.as_py(), width)
-                if not len(grams) or (key := row_key(grams)[0]) in seen:
+                if not len(grams) or (key := row_key(grams)[0], doc_id) in seen:
                     continue
                 if in_slots(slots, np.array([key], np.int64).view(np.uint64))[0]:
-                    seen.add(key)
+                    seen.add((key, doc_id))
                     keys.append(key)
+                    ids.append(doc_id)
                     rows.append(grams.tobytes())
             if keys:
-                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(rows, pa.binary())], names=["key", "grams"])
+                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(ids, pa.int64()), pa.array(rows, pa.binary())], names=["key", "doc_id", "grams"])
+
+    return run
+
+
+def _only(wanted) -> Callable:
+    """The rows (key, ...) whose key is in the slot map."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = in_slots(wanted.value, batch.column(0).to_numpy().view(np.uint64))
+            yield batch.filter(pa.array(keep))
 
     return run
 
@@ -253,9 +268,22 @@ def _overlaps(percent: int) -> Callable:
     return run
 
 
+def _plausible(pairs: DataFrame, firsts: DataFrame, percent: int) -> DataFrame:
+    """Pairs that share so many first columns that the rest may make up what is needed."""
+    side = lambda key, x: firsts.select(F.col("key").alias(key), F.col("n").alias(f"n{x}"), F.col("tokens").alias(f"t{x}"))
+    rest = lambda n: F.ceil(F.col(n) * percent / 100) - 1  # noqa: E731  what comes after the first columns
+    need = F.ceil(F.lit(percent) * (F.col("na") + F.col("nb")) / (100 + percent))
+    both = pairs.join(side("u", "a"), "u").join(side("v", "b"), "v")
+    return both.where(F.size(F.array_intersect("ta", "tb")) + F.greatest(rest("na"), rest("nb")) >= need).select("u", "v")
+
+
 def _links(pairs: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
-    a = rows.select(F.col("key").alias("u"), F.col("grams").alias("x"))
-    b = rows.select(F.col("key").alias("v"), F.col("grams").alias("y"))
+    sc = pairs.sparkSession.sparkContext
+    ends = pairs.select(F.explode(F.array("u", "v")).alias("key"))
+    wanted = sc.broadcast(slot_map(ends, "key"))
+    some = rows.mapInArrow(_only(wanted), "key long, grams binary")
+    a = some.select(F.col("key").alias("u"), F.col("grams").alias("x"))
+    b = some.select(F.col("key").alias("v"), F.col("grams").alias("y"))
     return pairs.join(a, "u").join(b, "v").select("u", "v", "x", "y").mapInArrow(_overlaps(percent), "u long, v long")
 
 
@@ -279,10 +307,11 @@ def link_classes(docs: DataFrame, facts: DataFrame, width: int = WIDTH, percent:
     columns = sc.broadcast(slot_map(shared, "token"))
     postings = texts.mapInArrow(_entries(width, percent, levels, columns), entry).join(shared, "token").distinct()
     postings = stash(postings.withColumn("comp", F.col("key")), "postings")
-    wanted = sc.broadcast(slot_map(postings, "key"))
-    keys = postings.select("key").distinct()
-    rows = texts.mapInArrow(_rows(width, wanted), "key long, grams binary").join(keys, "key").groupBy("key").agg(F.first("grams").alias("grams"))
-    rows = stash(rows, "rows")
+    firsts = stash(postings.groupBy("key").agg(F.first("n").alias("n"), F.collect_list("token").alias("tokens")), "firsts")
+    wanted = sc.broadcast(slot_map(firsts, "key"))
+    named = facts.where("part IS NULL").groupBy("key").agg(F.min("doc_id").alias("named")).join(firsts.select("key"), "key")
+    rows = docs.select("doc_id", "text").mapInArrow(_rows(width, wanted), "key long, doc_id long, grams binary")
+    rows = stash(rows.join(named, "key").where(F.col("doc_id").eqNullSafe(F.col("named"))).select("key", "grams"), "rows")
     tested = links = comps = None
     for r in range(STAR_ROUNDS + 1):
         if r < STAR_ROUNDS:
@@ -290,14 +319,18 @@ def link_classes(docs: DataFrame, facts: DataFrame, width: int = WIDTH, percent:
             pairs = _pairs(postings, centre, percent, ordered=False)
         else:
             pairs = _pairs(postings, postings, percent, ordered=True)
-        pairs = stash(pairs if tested is None else pairs.join(tested, ["u", "v"], "left_anti"), "pairs")
-        found = stash(_links(pairs, rows, percent), "links")
+        pairs = stash(_plausible(pairs if tested is None else pairs.join(tested, ["u", "v"], "left_anti"), firsts, percent), "pairs")
         tested = pairs if tested is None else tested.unionByName(pairs)
+        if pairs.isEmpty():
+            continue
+        found = stash(_links(pairs, rows, percent), "links")
         links = found if links is None else links.unionByName(found)
         if r < STAR_ROUNDS:
             postings, comps = _with_components(postings, links)
         else:
             comps = components(links)
+    if comps is None:
+        return firsts.limit(0).select(F.col("key").alias("node"), F.col("key").alias("root"))
     return comps
 
 
