@@ -243,16 +243,10 @@ class SchemaRegistryJson:
         return out
 
 
-@dataclass
-class CloudLog:
+def cloud_log() -> GenericParser:
     """Log entries of a fixed JSON shape."""
-
-    SCHEMA = "uid string, resource struct<type:string,id:string>, timestamp string, ingested_at string, saved_at string, level string, message string, json_payload string"
-
-    def parse(self, messages: DataFrame) -> Parsed:
-        got = messages.withColumn("__e", F.from_json(F.col("value").cast("string"), self.SCHEMA)).withColumn("__ok", F.col("__e.uid").isNotNull())
-        rows = got.where("__ok").select("topic", "partition", "offset", "__e.uid", F.col("__e.resource.type").alias("resource_type"), F.col("__e.resource.id").alias("resource_id"), *[F.to_timestamp(f"__e.{c}").alias(c) for c in ("timestamp", "ingested_at", "saved_at")], "__e.level", "__e.message", "__e.json_payload")
-        return Parsed(rows, got.where("NOT __ok").select("topic", "partition", "offset", F.col("value").cast("string").alias("unparsed_row")))
+    kinds = {"timestamp": "datetime", "uid": "utf8", "resource": "any", "ingestedAt": "datetime", "savedAt": "datetime", "level": "utf8", "message": "utf8", "jsonPayload": "any", "streamName": "utf8"}
+    return GenericParser([FieldSpec(n, t, key=n in ("timestamp", "uid")) for n, t in kinds.items()], aux=False)
 
 
 def fields_from_json(text: str) -> list[FieldSpec]:

@@ -233,6 +233,28 @@ def test_generic_parser(spark):
     assert sorted((r._idx, r.reason) for r in got.unparsed.collect()) == [(2, "no value for id"), (3, "not a valid line")]
 
 
+def test_protobuf(spark):
+    from millrace.sources import protobuf as P
+
+    event = b"\x0a\x02id\x12\x01s\x22\x01t" + b"\x2a\x0d\x0a\x07subject\x12\x02\x1a\x00" + b'\x3a\x02{}'
+    plain = b"\x08\x96\x01\x10\xff\xff\xff\xff\xff\xff\xff\xff\xff\x01\x1a\x02\x01\x02\x25\x00\x00\x80\x3f"
+    fields = (P.ProtoField(1, "a", "uint64"), P.ProtoField(2, "b", "int32"), P.ProtoField(3, "c", "uint32", repeated=True), P.ProtoField(4, "f", "float"))
+    rows = [(1, plain), (2, plain[:-1]), (3, len(plain).to_bytes(4, "little") + plain + P.SEQUENCE_MARK), (4, event)]
+    df = messages.as_messages(spark.createDataFrame(rows, "k int, v binary"), "t", F.col("v")).withColumn("k", F.monotonically_increasing_id())
+    at = lambda i: messages.as_messages(spark.createDataFrame([rows[i]], "k int, v binary"), "t", F.col("v"))
+    got = P.Protobuf(fields).parse(at(0).unionByName(at(1)))
+    assert [(int(r.a), r.b, r.c, r.f) for r in got.rows.collect()] == [(150, -1, "[1, 2]", 1.0)] and got.unparsed.count() == 1
+    assert P.Protobuf(fields, framing="sequence").parse(at(2)).rows.count() == 1 and df.count() == 4
+    r = P.CloudEvents().parse(at(3)).rows.collect()[0]
+    assert (r.id, r.source, r.type, r.payload) == ("id", "s", "t", "{}")
+
+
+def test_cloud_log(spark):
+    line = '{"timestamp": "2024-01-01T00:00:00Z", "uid": "u", "resource": {"id": 1}, "level": "INFO"}'
+    got = messages.cloud_log().parse(messages.as_messages(spark.createDataFrame([(line + "\n{}",)], "v string"), "t", F.col("v")))
+    assert values(got.rows, "level") == ["INFO"] and got.unparsed.count() == 1
+
+
 def test_raw_to_table(spark):
     df = spark.createDataFrame([("t", 0, 1, bytearray(b"k"), bytearray(b"{}")), ("t", 0, 2, bytearray(b"\xff"), bytearray(b"{"))], "topic string, partition int, offset long, key binary, value binary").withColumn("timestamp", F.current_timestamp())
     got = messages.RawToTable().parse(df)
