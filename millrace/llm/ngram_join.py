@@ -8,10 +8,10 @@ product of the matrix with its transpose is formed only where that can happen:
 * Columns are ordered by their frequency over all documents, rare ones first.  Two
   rows that link share a column among the first ``n - ceil(p n) + 1`` of each; only
   those entries are shuffled, and only columns with two classes stay.
-* A column is a block of the product.  In *star* rounds each block pairs its rows with one
-  row of the block, another one in each block and round; linked rows are
-  contracted into components, and a block within one component has nothing left to
-  tell.  The last round pairs, in what is left, all rows of different components.  So a
+* A column is a block of the product.  Small blocks are multiplied out.  A larger one first pairs
+  its rows with a few rows of it, others in each block; linked rows are contracted into
+  components, and a block within one component has nothing left to
+  tell.  In what is left all rows of different components are paired.  So a
   large group of near copies costs about its size, not its square, and no link
   between components is lost.
 * Pairs are discarded where a bound on the overlap is below what is needed: from the sizes,
@@ -43,14 +43,16 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import components, in_slots, shuffle_partitions, slot_map, stash
+from millrace.llm.common import components, in_slots, shuffle_partitions, slot_map, stash, union_all
 
 WIDTH, PERCENT = 5, 80
 #: Slots of the frequency table, and the parts it is summed in.
 FREQUENCY_BITS, PARTS = 24, 1024
 PART_SLOTS = (1 << FREQUENCY_BITS) // PARTS
-#: Rounds of stars before all pairs of different components are formed.
-STAR_ROUNDS = 3
+#: Rows of a block that all its rows are paired with before all pairs of different components are formed.
+STARS = 3
+#: Blocks of so many rows are multiplied out at once.
+SMALL_BLOCK = 8
 WORDS_KEPT = 200_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _SHIFT = np.uint64(29)
@@ -121,13 +123,25 @@ def _facts(width: int) -> Callable:
     names = [f.split()[0] for f in FACTS.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(1 << FREQUENCY_BITS, np.uint32)
+        counts = np.zeros(1 << FREQUENCY_BITS, np.uint16)
         mask = np.uint64(len(counts) - 1)
+        most = 0  # no slot's count is larger: a document adds one at most
+
+        def packed() -> pa.RecordBatch:
+            table = counts.reshape(PARTS, PART_SLOTS)
+            parts = np.flatnonzero(table.any(1))
+            none = pa.nulls(len(parts), pa.int64())
+            return pa.RecordBatch.from_arrays([none, none, none, none, pa.array(parts, pa.int32()), pa.array([_pack_counts(table[p]) for p in parts], pa.binary())], names=names)
+
         for batch in batches:
+            if most + batch.num_rows > np.iinfo(np.uint16).max:
+                yield packed()
+                counts[:], most = 0, 0
+            most += batch.num_rows
             keys, seconds, sizes = [], [], []
             for text in batch.column(1):
                 grams = ngrams(text.as_py(), width)
-                np.add.at(counts, (grams & mask).astype(np.int64), 1)
+                counts[(grams & mask).astype(np.int64)] += 1  # a slot once a document
                 key = row_key(grams) if len(grams) else (None, None)
                 keys.append(key[0])
                 seconds.append(key[1])
@@ -135,11 +149,8 @@ def _facts(width: int) -> Callable:
             n = len(sizes)
             cols = [batch.column(0), pa.array(keys, pa.int64()), pa.array(seconds, pa.int64()), pa.array(sizes, pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())]
             yield pa.RecordBatch.from_arrays(cols, names=names)
-        parts = np.flatnonzero(counts.reshape(PARTS, PART_SLOTS).any(1))
-        if len(parts):
-            packed = [_pack_counts(counts.reshape(PARTS, PART_SLOTS)[p]) for p in parts]
-            none = pa.nulls(len(parts), pa.int64())
-            yield pa.RecordBatch.from_arrays([none, none, none, none, pa.array(parts, pa.int32()), pa.array(packed, pa.binary())], names=names)
+        if most:
+            yield packed()
 
     return run
 
@@ -221,17 +232,6 @@ def _rows(width: int, wanted) -> Callable:
     return run
 
 
-def _only(wanted) -> Callable:
-    """The rows (key, ...) whose key is in the slot map."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = in_slots(wanted.value, batch.column(0).to_numpy().view(np.uint64))
-            yield batch.filter(pa.array(keep))
-
-    return run
-
-
 # --- pairs ------------------------------------------------------------------------------------------------
 
 
@@ -277,22 +277,30 @@ def _plausible(pairs: DataFrame, firsts: DataFrame, percent: int) -> DataFrame:
     return both.where(F.size(F.array_intersect("ta", "tb")) + F.greatest(rest("na"), rest("nb")) >= need).select("u", "v")
 
 
+def _rows_of(docs: DataFrame, facts: DataFrame, keys: DataFrame, width: int) -> DataFrame:
+    """Rows (key, grams) of some classes, each from its least document, by a pass over the texts that lets only their slots through."""
+    wanted = docs.sparkSession.sparkContext.broadcast(slot_map(keys, "key"))
+    named = facts.where("part IS NULL").groupBy("key").agg(F.min("doc_id").alias("named")).join(keys, "key")
+    rows = docs.select("doc_id", "text").mapInArrow(_rows(width, wanted), "key long, doc_id long, grams binary")
+    return stash(rows.join(named, "key").where(F.col("doc_id").eqNullSafe(F.col("named"))).select("key", "grams"), "rows")
+
+
 def _links(pairs: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
-    sc = pairs.sparkSession.sparkContext
-    ends = pairs.select(F.explode(F.array("u", "v")).alias("key"))
-    wanted = sc.broadcast(slot_map(ends, "key"))
-    some = rows.mapInArrow(_only(wanted), "key long, grams binary")
-    a = some.select(F.col("key").alias("u"), F.col("grams").alias("x"))
-    b = some.select(F.col("key").alias("v"), F.col("grams").alias("y"))
+    a = rows.select(F.col("key").alias("u"), F.col("grams").alias("x"))
+    b = rows.select(F.col("key").alias("v"), F.col("grams").alias("y"))
     return pairs.join(a, "u").join(b, "v").select("u", "v", "x", "y").mapInArrow(_overlaps(percent), "u long, v long")
 
 
-def _with_components(postings: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Postings with their components, only of columns that hold several; and the components."""
+def _ends(pairs: DataFrame) -> DataFrame:
+    return stash(pairs.select(F.explode(F.array("u", "v")).alias("key")).distinct(), "ends")
+
+
+def _with_components(postings: DataFrame, links: DataFrame) -> DataFrame:
+    """Postings with their components, only of columns that hold several."""
     comps = components(links)
     joined = postings.drop("comp").join(comps.select(F.col("node").alias("key"), "root"), "key", "left").withColumn("comp", F.coalesce("root", "key")).drop("root")
     mixed = joined.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("token")
-    return stash(joined.join(mixed, "token"), "postings"), comps
+    return stash(joined.join(mixed, "token"), "postings")
 
 
 def link_classes(docs: DataFrame, facts: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
@@ -308,30 +316,27 @@ def link_classes(docs: DataFrame, facts: DataFrame, width: int = WIDTH, percent:
     postings = texts.mapInArrow(_entries(width, percent, levels, columns), entry).join(shared, "token").distinct()
     postings = stash(postings.withColumn("comp", F.col("key")), "postings")
     firsts = stash(postings.groupBy("key").agg(F.first("n").alias("n"), F.collect_list("token").alias("tokens")), "firsts")
-    wanted = sc.broadcast(slot_map(firsts, "key"))
-    named = facts.where("part IS NULL").groupBy("key").agg(F.min("doc_id").alias("named")).join(firsts.select("key"), "key")
-    rows = docs.select("doc_id", "text").mapInArrow(_rows(width, wanted), "key long, doc_id long, grams binary")
-    rows = stash(rows.join(named, "key").where(F.col("doc_id").eqNullSafe(F.col("named"))).select("key", "grams"), "rows")
-    tested = links = comps = None
-    for r in range(STAR_ROUNDS + 1):
-        if r < STAR_ROUNDS:
-            centre = postings.groupBy("token").agg(F.min(F.struct(F.xxhash64("key", "token", F.lit(r)).alias("h"), "key", "n", "pos", "comp")).alias("c")).select("token", "c.*")
-            pairs = _pairs(postings, centre, percent, ordered=False)
-        else:
-            pairs = _pairs(postings, postings, percent, ordered=True)
-        pairs = stash(_plausible(pairs if tested is None else pairs.join(tested, ["u", "v"], "left_anti"), firsts, percent), "pairs")
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        if pairs.isEmpty():
-            continue
-        found = stash(_links(pairs, rows, percent), "links")
-        links = found if links is None else links.unionByName(found)
-        if r < STAR_ROUNDS:
-            postings, comps = _with_components(postings, links)
-        else:
-            comps = components(links)
-    if comps is None:
+    sized = postings.join(postings.groupBy("token").agg(F.count("*").alias("size")), "token")
+    small = sized.where(F.col("size") <= SMALL_BLOCK).drop("size")
+    stars = [_pairs(small, small, percent, ordered=True)]
+    for r in range(STARS):
+        centre = postings.groupBy("token").agg(F.min(F.struct(F.xxhash64("key", "token", F.lit(r)).alias("h"), "key", "n", "pos", "comp")).alias("c")).select("token", "c.*")
+        stars.append(_pairs(postings, centre, percent, ordered=False))
+    pairs = stash(_plausible(union_all(stars).distinct(), firsts, percent), "pairs")
+    if pairs.isEmpty():
         return firsts.limit(0).select(F.col("key").alias("node"), F.col("key").alias("root"))
-    return comps
+    keys = _ends(pairs)
+    rows = _rows_of(docs, facts, keys, width)
+    links = stash(_links(pairs, rows, percent), "links")
+    postings = _with_components(postings, links)
+    rest = _pairs(postings, postings, percent, ordered=True).join(pairs, ["u", "v"], "left_anti")
+    rest = stash(_plausible(rest, firsts, percent), "pairs")
+    if not rest.isEmpty():
+        more = stash(_ends(rest).join(keys, "key", "left_anti"), "ends")
+        if not more.isEmpty():
+            rows = rows.unionByName(_rows_of(docs, facts, more, width))
+        links = links.unionByName(stash(_links(rest, rows, percent), "links"))
+    return components(links)
 
 
 def ngram_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
