@@ -218,12 +218,19 @@ def read_delta(spark: SparkSession, path: str, version: int | None = None, times
     The log is read and reduced by Spark; the list of live files goes to the reader,
     as any file listing does.  A table's partition values come from the log.
     """
-    log = spark.read.option("pathGlobFilter", "*.json").schema("add struct<path:string,partitionValues:map<string,string>>, remove struct<path:string>, metaData struct<schemaString:string,partitionColumns:array<string>>, commitInfo struct<timestamp:bigint>").json(f"{path}/_delta_log")
-    log = log.withColumn("version", F.regexp_extract(F.col("_metadata.file_name"), r"(\d+)\.json$", 1).cast("bigint"))
+    actions = "add struct<path:string,partitionValues:map<string,string>>, remove struct<path:string>, metaData struct<schemaString:string,partitionColumns:array<string>>"
+    numbered = lambda df, pattern: df.withColumn("version", F.regexp_extract(F.col("_metadata.file_name"), pattern, 1).cast("bigint"))
+    log = numbered(spark.read.option("pathGlobFilter", "*.json").schema(f"{actions}, commitInfo struct<timestamp:bigint>").json(f"{path}/_delta_log"), r"^(\d+)\.json$")
     if timestamp_ms is not None:
         version = log.where(F.col("commitInfo.timestamp") <= timestamp_ms).agg(F.max("version")).first()[0]
     if version is not None:
         log = log.where(F.col("version") <= version)
+    points = spark.read.option("pathGlobFilter", "*.checkpoint*.parquet").schema(actions).parquet(f"{path}/_delta_log")
+    points = numbered(points, r"^(\d+)\.checkpoint")
+    if version is not None:
+        points = points.where(F.col("version") <= version)
+    if (point := points.agg(F.max("version")).first()[0]) is not None:  # all before it is in it
+        log = points.where(F.col("version") == point).unionByName(log.where(F.col("version") > point).drop("commitInfo"))
     meta = log.where("metaData IS NOT NULL").orderBy(F.desc("version")).select("metaData").first()["metaData"]
     actions = log.where("add IS NOT NULL OR remove IS NOT NULL").select(F.coalesce("add.path", "remove.path").alias("path"), F.struct("version", F.col("add").isNotNull().alias("added")).alias("at"), F.col("add.partitionValues").alias("parts"))
     live = actions.groupBy("path").agg(F.max("at").alias("at"), F.max_by("parts", "at").alias("parts")).where("at.added").select("path", "parts").collect()

@@ -295,6 +295,11 @@ def test_delta(spark, tmp_path):
     (d / "_delta_log" / "00000000000000000000.json").write_text('{"metaData":{"schemaString":"%s","partitionColumns":[]}}\n' % schema + "".join('{"add":{"path":"%s","partitionValues":{}}}\n' % n for n in names))
     (d / "_delta_log" / "00000000000000000001.json").write_text('{"remove":{"path":"%s"}}\n' % names[0])
     assert files.read_delta(spark, str(d)).count() == 1 and files.read_delta(spark, str(d), version=0).count() == 2
+    point = spark.sql(f"SELECT struct('{names[1]}' AS path, map('', '') AS partitionValues) AS add, CAST(NULL AS struct<path:string>) AS remove, struct('{schema}' AS schemaString, CAST(array() AS array<string>) AS partitionColumns) AS metaData")
+    point.coalesce(1).write.parquet(str(tmp_path / "cp"))
+    next((tmp_path / "cp").glob("*.parquet")).rename(d / "_delta_log" / "00000000000000000001.checkpoint.parquet")
+    (d / "_delta_log" / "00000000000000000000.json").unlink()
+    assert files.read_delta(spark, str(d)).count() == 1
 
 
 def test_parts(spark, tmp_path):
