@@ -43,7 +43,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import components, in_slots, shuffle_partitions, slot_map, stash, union_all
+from millrace.llm.common import components, in_slots, shuffle_partitions, slot_map, stash
 
 WIDTH, PERCENT = 5, 80
 #: Slots of the frequency table, and the parts it is summed in.
@@ -242,12 +242,14 @@ def _can_link(percent: int) -> Column:
     return sizes & (F.least(F.col("a.n") - F.col("a.pos"), F.col("b.n") - F.col("b.pos")) >= need)
 
 
-def _pairs(a: DataFrame, b: DataFrame, percent: int, ordered: bool) -> DataFrame:
-    apart = (F.col("a.comp") != F.col("b.comp")) & _can_link(percent)
-    if ordered:
-        apart &= F.col("a.key") < F.col("b.key")
-    both = a.alias("a").join(b.alias("b"), (F.col("a.token") == F.col("b.token")) & apart)
-    return both.select(F.least("a.key", "b.key").alias("u"), F.greatest("a.key", "b.key").alias("v")).distinct()
+def _apart(percent: int) -> Column:
+    return (F.col("a.comp") != F.col("b.comp")) & _can_link(percent)
+
+
+def _pairs(postings: DataFrame, percent: int) -> DataFrame:
+    """All pairs of a block's rows that are in different components and may link."""
+    both = postings.alias("a").join(postings.alias("b"), (F.col("a.token") == F.col("b.token")) & (F.col("a.key") < F.col("b.key")) & _apart(percent))
+    return both.select(F.col("a.key").alias("u"), F.col("b.key").alias("v")).distinct()
 
 
 def _overlaps(percent: int) -> Callable:
@@ -316,20 +318,21 @@ def link_classes(docs: DataFrame, facts: DataFrame, width: int = WIDTH, percent:
     postings = texts.mapInArrow(_entries(width, percent, levels, columns), entry).join(shared, "token").distinct()
     postings = stash(postings.withColumn("comp", F.col("key")), "postings")
     firsts = stash(postings.groupBy("key").agg(F.first("n").alias("n"), F.collect_list("token").alias("tokens")), "firsts")
-    sized = postings.join(postings.groupBy("token").agg(F.count("*").alias("size")), "token")
-    small = sized.where(F.col("size") <= SMALL_BLOCK).drop("size")
-    stars = [_pairs(small, small, percent, ordered=True)]
-    for r in range(STARS):
-        centre = postings.groupBy("token").agg(F.min(F.struct(F.xxhash64("key", "token", F.lit(r)).alias("h"), "key", "n", "pos", "comp")).alias("c")).select("token", "c.*")
-        stars.append(_pairs(postings, centre, percent, ordered=False))
-    pairs = stash(_plausible(union_all(stars).distinct(), firsts, percent), "pairs")
+    row = F.struct("token", "key", "n", "pos", "comp")
+    centres = [F.min(F.struct(F.xxhash64("key", "token", F.lit(r)).alias("h"), "key", "n", "pos", "comp")).alias(f"c{r}") for r in range(STARS)]
+    blocks = postings.groupBy("token").agg(F.count("*").alias("size"), *centres)
+    sized = postings.join(blocks, "token")  # stays dealt by token: what follows needs no other exchange
+    small = sized.where(F.col("size") <= SMALL_BLOCK).select(*postings.columns)
+    large = sized.where(F.col("size") > SMALL_BLOCK).select(row.alias("a"), F.explode(F.array(*[f"c{r}" for r in range(STARS)])).alias("b"))
+    stars = large.where(_apart(percent)).select(F.least("a.key", "b.key").alias("u"), F.greatest("a.key", "b.key").alias("v"))
+    pairs = stash(_plausible(_pairs(small, percent).unionByName(stars).distinct(), firsts, percent), "pairs")
     if pairs.isEmpty():
         return firsts.limit(0).select(F.col("key").alias("node"), F.col("key").alias("root"))
     keys = _ends(pairs)
     rows = _rows_of(docs, facts, keys, width)
     links = stash(_links(pairs, rows, percent), "links")
     postings = _with_components(postings, links)
-    rest = _pairs(postings, postings, percent, ordered=True).join(pairs, ["u", "v"], "left_anti")
+    rest = _pairs(postings, percent).join(pairs, ["u", "v"], "left_anti")
     rest = stash(_plausible(rest, firsts, percent), "pairs")
     if not rest.isEmpty():
         more = stash(_ends(rest).join(keys, "key", "left_anti"), "ends")
