@@ -50,7 +50,9 @@ WIDTH, PERCENT = 5, 80
 FREQUENCY_BITS, PARTS = 24, 1024
 PART_SLOTS = (1 << FREQUENCY_BITS) // PARTS
 #: Rows of a block that all its rows are paired with before all pairs of different components are formed.
-STARS = 3
+STARS = 2
+#: Groups of columns that pick their stars alike: a group of near copies, whose columns are many, has STARS * STAR_GROUPS of them.
+STAR_GROUPS = 8
 #: Blocks of so many rows are multiplied out at once.
 SMALL_BLOCK = 8
 WORDS_KEPT = 200_000
@@ -235,20 +237,18 @@ def _rows(width: int, wanted) -> Callable:
 # --- pairs ------------------------------------------------------------------------------------------------
 
 
-def _can_link(percent: int) -> Column:
-    """Bounds on the overlap from the sizes and from the places of the shared column (of the first one, for pairs that link)."""
-    need = F.ceil(F.lit(percent) * (F.col("a.n") + F.col("b.n")) / (100 + percent))
-    sizes = F.least("a.n", "b.n") * 100 >= F.greatest("a.n", "b.n") * percent
-    return sizes & (F.least(F.col("a.n") - F.col("a.pos"), F.col("b.n") - F.col("b.pos")) >= need)
-
-
-def _apart(percent: int) -> Column:
-    return (F.col("a.comp") != F.col("b.comp")) & _can_link(percent)
+def _may_link(a: Column, b: Column, percent: int) -> Column:
+    """Rows of different components whose sizes, and the places of the column they share (the first one, in pairs that link), allow the overlap needed."""
+    need = F.ceil(F.lit(percent) * (a["n"] + b["n"]) / (100 + percent))
+    sizes = F.least(a["n"], b["n"]) * 100 >= F.greatest(a["n"], b["n"]) * percent
+    return (a["comp"] != b["comp"]) & sizes & (F.least(a["n"] - a["pos"], b["n"] - b["pos"]) >= need)
 
 
 def _pairs(postings: DataFrame, percent: int) -> DataFrame:
     """All pairs of a block's rows that are in different components and may link."""
-    both = postings.alias("a").join(postings.alias("b"), (F.col("a.token") == F.col("b.token")) & (F.col("a.key") < F.col("b.key")) & _apart(percent))
+    row = F.struct("key", "n", "pos", "comp")
+    a, b = postings.select("token", row.alias("a")), postings.select(F.col("token").alias("t"), row.alias("b"))
+    both = a.join(b, (F.col("token") == F.col("t")) & (F.col("a.key") < F.col("b.key")) & _may_link(F.col("a"), F.col("b"), percent))
     return both.select(F.col("a.key").alias("u"), F.col("b.key").alias("v")).distinct()
 
 
@@ -293,10 +293,6 @@ def _links(pairs: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
     return pairs.join(a, "u").join(b, "v").select("u", "v", "x", "y").mapInArrow(_overlaps(percent), "u long, v long")
 
 
-def _ends(pairs: DataFrame) -> DataFrame:
-    return stash(pairs.select(F.explode(F.array("u", "v")).alias("key")).distinct(), "ends")
-
-
 def _with_components(postings: DataFrame, links: DataFrame) -> DataFrame:
     """Postings with their components, only of columns that hold several."""
     comps = components(links)
@@ -319,27 +315,22 @@ def link_classes(docs: DataFrame, facts: DataFrame, width: int = WIDTH, percent:
     postings = stash(postings.withColumn("comp", F.col("key")), "postings")
     firsts = stash(postings.groupBy("key").agg(F.first("n").alias("n"), F.collect_list("token").alias("tokens")), "firsts")
     row = F.struct("token", "key", "n", "pos", "comp")
-    centres = [F.min(F.struct(F.xxhash64("key", "token", F.lit(r)).alias("h"), "key", "n", "pos", "comp")).alias(f"c{r}") for r in range(STARS)]
+    centres = [F.min(F.struct(F.xxhash64("key", F.pmod("token", F.lit(STAR_GROUPS)), F.lit(r)).alias("h"), "key", "n", "pos", "comp")).alias(f"c{r}") for r in range(STARS)]
     blocks = postings.groupBy("token").agg(F.count("*").alias("size"), *centres)
     sized = postings.join(blocks, "token")  # stays dealt by token: what follows needs no other exchange
     small = sized.where(F.col("size") <= SMALL_BLOCK).select(*postings.columns)
-    large = sized.where(F.col("size") > SMALL_BLOCK).select(row.alias("a"), F.explode(F.array(*[f"c{r}" for r in range(STARS)])).alias("b"))
-    stars = large.where(_apart(percent)).select(F.least("a.key", "b.key").alias("u"), F.greatest("a.key", "b.key").alias("v"))
+    large = sized.where(F.col("size") > SMALL_BLOCK).select(row.alias("a"), F.array(*[f"c{r}" for r in range(STARS)]).alias("stars"))
+    stars = large.select("a", F.explode(F.filter("stars", lambda b: _may_link(F.col("a"), b, percent))).alias("b")).select(F.least("a.key", "b.key").alias("u"), F.greatest("a.key", "b.key").alias("v"))
     pairs = stash(_plausible(_pairs(small, percent).unionByName(stars).distinct(), firsts, percent), "pairs")
-    if pairs.isEmpty():
+    if pairs.isEmpty() and large.isEmpty():
         return firsts.limit(0).select(F.col("key").alias("node"), F.col("key").alias("root"))
-    keys = _ends(pairs)
-    rows = _rows_of(docs, facts, keys, width)
+    # all that is still to be tested lies in large blocks, so one pass over the texts gives every row
+    ends = pairs.select(F.explode(F.array("u", "v")).alias("key")).unionByName(large.select(F.col("a.key").alias("key")))
+    rows = _rows_of(docs, facts, stash(ends.distinct(), "ends"), width)
     links = stash(_links(pairs, rows, percent), "links")
-    postings = _with_components(postings, links)
-    rest = _pairs(postings, percent).join(pairs, ["u", "v"], "left_anti")
+    rest = _pairs(_with_components(large.select("a.*").distinct(), links), percent).join(pairs, ["u", "v"], "left_anti")
     rest = stash(_plausible(rest, firsts, percent), "pairs")
-    if not rest.isEmpty():
-        more = stash(_ends(rest).join(keys, "key", "left_anti"), "ends")
-        if not more.isEmpty():
-            rows = rows.unionByName(_rows_of(docs, facts, more, width))
-        links = links.unionByName(stash(_links(rest, rows, percent), "links"))
-    return components(links)
+    return components(links.unionByName(stash(_links(rest, rows, percent), "links")))
 
 
 def ngram_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
