@@ -9,14 +9,17 @@ product of the matrix with its transpose is formed only where that can happen:
   rows that link share a column among the first ``n - ceil(p n) + 1`` of each; only
   those entries are shuffled, and only columns with two classes stay.
 * A column is a block of the product.  Small blocks are multiplied out.  A larger one first pairs
-  its rows with a few rows of it, others in each block; linked rows are contracted into
+  its rows with one of it, its centre; linked rows are contracted into
   components, and a block within one component has nothing left to
-  tell.  In what is left all rows of different components are paired.  So a
-  large group of near copies costs about its size, not its square, and no link
-  between components is lost.
+  tell.  In what is left all rows of different components are paired.
 * Pairs are discarded where a bound on the overlap is below what is needed: from the sizes,
   from the place of a shared column, then from the number of first columns they share,
-  as all other common columns come after the first ones of one of the two.  For
+  as all other common columns come after the first ones of one of the two.  In larger
+  blocks also from each row's reach: of its columns, those that several components hold, as
+  no other can be common.  The row of most reach is a block's centre: in a group of near
+  copies it is what they are copies of.  So such a group costs about its size,
+  not its square: a row that is too far from the centre to link has too little reach
+  for most others, and no link between components is lost.  For
   what is left the overlap is counted over the whole rows; only rows of such
   pairs are shuffled.
 
@@ -49,10 +52,6 @@ WIDTH, PERCENT = 5, 80
 #: Slots of the frequency table, and the parts it is summed in.
 FREQUENCY_BITS, PARTS = 24, 1024
 PART_SLOTS = (1 << FREQUENCY_BITS) // PARTS
-#: Rows of a block that all its rows are paired with before all pairs of different components are formed.
-STARS = 2
-#: Groups of columns that pick their stars alike: a group of near copies, whose columns are many, has STARS * STAR_GROUPS of them.
-STAR_GROUPS = 8
 #: Blocks of so many rows are multiplied out at once.
 SMALL_BLOCK = 8
 WORDS_KEPT = 200_000
@@ -181,13 +180,15 @@ def frequency_levels(facts: DataFrame) -> np.ndarray:
 # --- entries of the incidence matrix ---------------------------------------------------------------------
 
 
-def _entries(width: int, percent: int, levels, columns) -> Callable:
-    """(token, key, n, pos) of each row's first columns; with ``columns``, a slot map, only of those in it."""
-    names = ["token", "key", "n", "pos"]
+ENTRY = "token long, key long, n long, pos long"
+
+
+def _entries(width: int, percent: int, levels) -> Callable:
+    """(token, key, n, pos) of each row's first columns, once a task."""
+    names = [f.split()[0] for f in ENTRY.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         level = levels.value
-        keep = columns.value if columns is not None else None
         mask, seen = np.uint64(len(level) - 1), set()
         for batch in batches:
             out: list[list[np.ndarray]] = [[], [], [], []]
@@ -199,19 +200,24 @@ def _entries(width: int, percent: int, levels, columns) -> Callable:
                 seen.add(key)
                 order = level[(grams & mask).astype(np.int64)].astype(np.uint64) << np.uint64(56) | grams >> np.uint64(8)
                 first = grams[np.argsort(order, kind="stable")[: prefix_length(n, percent)]]
-                pos = np.arange(len(first))
-                if keep is not None:
-                    there = in_slots(keep, first)
-                    first, pos = first[there], pos[there]
-                if len(first):
-                    for o, x in zip(out, (first.view(np.int64), np.full(len(first), key), np.full(len(first), n), pos), strict=True):
-                        o.append(x)
+                for o, x in zip(out, (first.view(np.int64), np.full(len(first), key), np.full(len(first), n), np.arange(len(first))), strict=True):
+                    o.append(x)
             if out[0]:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), pa.int64()) for x in out], names=names)
 
     return run
 
 
+def _held(columns) -> Callable:
+    """Entries whose token is in the slot map ``columns``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(in_slots(columns.value, batch.column(0).to_numpy().view(np.uint64))))
+
+    return run
+
+
 def _rows(width: int, wanted) -> Callable:
     """(key, doc_id, grams) of the rows whose key is in the slot map ``wanted``, once a task."""
 
@@ -238,20 +244,30 @@ def _rows(width: int, wanted) -> Callable:
 
 
 def _may_link(a: Column, b: Column, percent: int) -> Column:
-    """Rows of different components whose sizes, and the places of the column they share (the first one, in pairs that link), allow the overlap needed."""
+    """Rows of different components whose sizes, reach, and the places of the column they share (the first one, in pairs that link), allow the overlap needed."""
     need = F.ceil(F.lit(percent) * (a["n"] + b["n"]) / (100 + percent))
     sizes = F.least(a["n"], b["n"]) * 100 >= F.greatest(a["n"], b["n"]) * percent
-    return (a["comp"] != b["comp"]) & sizes & (F.least(a["n"] - a["pos"], b["n"] - b["pos"]) >= need)
+    return (a["comp"] != b["comp"]) & sizes & (F.least(a["n"] - a["pos"], b["n"] - b["pos"], a["reach"], b["reach"]) >= need)
+
+
+ROW = ("reach", "key", "n", "pos", "comp")
 
 
 def _pairs(postings: DataFrame, percent: int) -> DataFrame:
     """All pairs of a block's rows that are in different components and may link."""
-    row = F.struct("key", "n", "pos", "comp")
+    row = F.struct(*ROW)
     a, b = postings.select("token", row.alias("a")), postings.select(F.col("token").alias("t"), row.alias("b"))
     both = a.join(b, (F.col("token") == F.col("t")) & (F.col("a.key") < F.col("b.key")) & _may_link(F.col("a"), F.col("b"), percent))
     return both.select(F.col("a.key").alias("u"), F.col("b.key").alias("v")).distinct()
 
 
+def _centred(postings: DataFrame, percent: int) -> DataFrame:
+    """Pairs of each row of a block with its centre that are in different components and may link."""
+    centres = postings.groupBy("token").agg(F.max(F.struct(*ROW)).alias("b"))
+    both = postings.select("token", F.struct(*ROW).alias("a")).join(centres, "token").where(_may_link(F.col("a"), F.col("b"), percent))
+    return both.select(F.least("a.key", "b.key").alias("u"), F.greatest("a.key", "b.key").alias("v")).distinct()
+
+
 def _overlaps(percent: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -293,44 +309,53 @@ def _links(pairs: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
     return pairs.join(a, "u").join(b, "v").select("u", "v", "x", "y").mapInArrow(_overlaps(percent), "u long, v long")
 
 
-def _with_components(postings: DataFrame, links: DataFrame) -> DataFrame:
-    """Postings with their components, only of columns that hold several."""
-    comps = components(links)
-    joined = postings.drop("comp").join(comps.select(F.col("node").alias("key"), "root"), "key", "left").withColumn("comp", F.coalesce("root", "key")).drop("root")
-    mixed = joined.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("token")
-    return stash(joined.join(mixed, "token"), "postings")
+def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, comp, grams) to one row a column: (key, comp, gram)."""
+    for batch in batches:
+        rows = [np.frombuffer(g.as_buffer(), np.int64) for g in batch.column(2)]
+        if rows:
+            sizes = [len(r) for r in rows]
+            yield pa.RecordBatch.from_arrays([*(pa.array(np.repeat(batch.column(i).to_numpy(), sizes)) for i in (0, 1)), pa.array(np.concatenate(rows))], names=["key", "comp", "gram"])
+
+
+def _several(table: DataFrame, column: str) -> DataFrame:
+    """Values of ``column`` that rows of several components hold."""
+    return table.groupBy(column).agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select(column)
+
+
+def _open(postings: DataFrame, links: DataFrame, rows: DataFrame) -> DataFrame:
+    """Postings of the columns that hold several components, with each row's component and reach."""
+    joined = postings.join(components(links).select(F.col("node").alias("key"), "root"), "key", "left").withColumn("comp", F.coalesce("root", "key")).drop("root")
+    mixed = stash(joined.join(_several(joined, "token"), "token"), "mixed")
+    spread = mixed.select("key", "comp").distinct().join(rows, "key").select("key", "comp", "grams").mapInArrow(_spread, "key long, comp long, gram long")
+    reach = spread.join(_several(spread, "gram"), "gram").groupBy("key").agg(F.count("*").alias("reach"))
+    return stash(mixed.join(reach, "key"), "open")
 
 
 def link_classes(docs: DataFrame, facts: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """Components (node, root) of the classes of equal rows that have a link to another class."""
-    spark = docs.sparkSession
-    sc = spark.sparkContext
-    texts = docs.select("text")
+    sc = docs.sparkSession.sparkContext
     levels = sc.broadcast(frequency_levels(facts))
-    entry = "token long, key long, n long, pos long"
-    firsts = texts.mapInArrow(_entries(width, percent, levels, None), entry)
-    shared = stash(firsts.groupBy("token").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).where("lo != hi").select("token"), "columns")
+    entries = stash(docs.select("text").mapInArrow(_entries(width, percent, levels), ENTRY), "entries")
+    shared = stash(entries.groupBy("token").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).where("lo != hi").select("token"), "columns")
     columns = sc.broadcast(slot_map(shared, "token"))
-    postings = texts.mapInArrow(_entries(width, percent, levels, columns), entry).join(shared, "token").distinct()
-    postings = stash(postings.withColumn("comp", F.col("key")), "postings")
+    postings = stash(entries.mapInArrow(_held(columns), ENTRY).join(shared, "token").distinct(), "postings")
     firsts = stash(postings.groupBy("key").agg(F.first("n").alias("n"), F.collect_list("token").alias("tokens")), "firsts")
-    row = F.struct("token", "key", "n", "pos", "comp")
-    centres = [F.min(F.struct(F.xxhash64("key", F.pmod("token", F.lit(STAR_GROUPS)), F.lit(r)).alias("h"), "key", "n", "pos", "comp")).alias(f"c{r}") for r in range(STARS)]
-    blocks = postings.groupBy("token").agg(F.count("*").alias("size"), *centres)
-    sized = postings.join(blocks, "token")  # stays dealt by token: what follows needs no other exchange
-    small = sized.where(F.col("size") <= SMALL_BLOCK).select(*postings.columns)
-    large = sized.where(F.col("size") > SMALL_BLOCK).select(row.alias("a"), F.array(*[f"c{r}" for r in range(STARS)]).alias("stars"))
-    stars = large.select("a", F.explode(F.filter("stars", lambda b: _may_link(F.col("a"), b, percent))).alias("b")).select(F.least("a.key", "b.key").alias("u"), F.greatest("a.key", "b.key").alias("v"))
-    pairs = stash(_plausible(_pairs(small, percent).unionByName(stars).distinct(), firsts, percent), "pairs")
-    if pairs.isEmpty() and large.isEmpty():
-        return firsts.limit(0).select(F.col("key").alias("node"), F.col("key").alias("root"))
+    sized = postings.join(postings.groupBy("token").agg(F.count("*").alias("size")), "token")
+    small = sized.where(F.col("size") <= SMALL_BLOCK).withColumn("comp", F.col("key")).withColumn("reach", F.col("n"))
+    large = stash(sized.where(F.col("size") > SMALL_BLOCK).drop("size"), "large")
+    pairs = stash(_plausible(_pairs(small, percent), firsts, percent), "pairs")
     # all that is still to be tested lies in large blocks, so one pass over the texts gives every row
-    ends = pairs.select(F.explode(F.array("u", "v")).alias("key")).unionByName(large.select(F.col("a.key").alias("key")))
-    rows = _rows_of(docs, facts, stash(ends.distinct(), "ends"), width)
+    ends = stash(pairs.select(F.explode(F.array("u", "v")).alias("key")).unionByName(large.select("key")).distinct(), "ends")
+    rows = _rows_of(docs, facts, ends, width)
     links = stash(_links(pairs, rows, percent), "links")
-    rest = _pairs(_with_components(large.select("a.*").distinct(), links), percent).join(pairs, ["u", "v"], "left_anti")
-    rest = stash(_plausible(rest, firsts, percent), "pairs")
-    return components(links.unionByName(stash(_links(rest, rows, percent), "links")))
+    if not large.isEmpty():
+        for choose in (_centred, _pairs):
+            found = choose(_open(large, links, rows), percent).join(pairs, ["u", "v"], "left_anti")
+            found = stash(_plausible(found, firsts, percent), "pairs")
+            pairs = pairs.unionByName(found)
+            links = links.unionByName(stash(_links(found, rows, percent), "links"))
+    return components(links)
 
 
 def ngram_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
