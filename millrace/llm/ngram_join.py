@@ -183,8 +183,8 @@ def frequency_levels(facts: DataFrame) -> np.ndarray:
 ENTRY = "token long, key long, n long, pos long"
 
 
-def _entries(width: int, percent: int, levels) -> Callable:
-    """(token, key, n, pos) of each row's first columns, once a task."""
+def _entries(width: int, percent: int, levels, columns=None) -> Callable:
+    """(token, key, n, pos) of each row's first columns, once a task; with ``columns``, a slot map, only of those in it."""
     names = [f.split()[0] for f in ENTRY.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -200,7 +200,11 @@ def _entries(width: int, percent: int, levels) -> Callable:
                 seen.add(key)
                 order = level[(grams & mask).astype(np.int64)].astype(np.uint64) << np.uint64(56) | grams >> np.uint64(8)
                 first = grams[np.argsort(order, kind="stable")[: prefix_length(n, percent)]]
-                for o, x in zip(out, (first.view(np.int64), np.full(len(first), key), np.full(len(first), n), np.arange(len(first))), strict=True):
+                pos = np.arange(len(first))
+                if columns is not None:
+                    there = in_slots(columns.value, first)
+                    first, pos = first[there], pos[there]
+                for o, x in zip(out, (first.view(np.int64), np.full(len(first), key), np.full(len(first), n), pos), strict=True):
                     o.append(x)
             if out[0]:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), pa.int64()) for x in out], names=names)
@@ -208,16 +212,6 @@ def _entries(width: int, percent: int, levels) -> Callable:
     return run
 
 
-def _held(columns) -> Callable:
-    """Entries whose token is in the slot map ``columns``."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield batch.filter(pa.array(in_slots(columns.value, batch.column(0).to_numpy().view(np.uint64))))
-
-    return run
-
-
 def _rows(width: int, wanted) -> Callable:
     """(key, doc_id, grams) of the rows whose key is in the slot map ``wanted``, once a task."""
 
@@ -336,10 +330,12 @@ def link_classes(docs: DataFrame, facts: DataFrame, width: int = WIDTH, percent:
     """Components (node, root) of the classes of equal rows that have a link to another class."""
     sc = docs.sparkSession.sparkContext
     levels = sc.broadcast(frequency_levels(facts))
-    entries = stash(docs.select("text").mapInArrow(_entries(width, percent, levels), ENTRY), "entries")
+    texts = docs.select("text")
+    entries = texts.mapInArrow(_entries(width, percent, levels), ENTRY)
     shared = stash(entries.groupBy("token").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).where("lo != hi").select("token"), "columns")
     columns = sc.broadcast(slot_map(shared, "token"))
-    postings = stash(entries.mapInArrow(_held(columns), ENTRY).join(shared, "token").distinct(), "postings")
+    # a second pass over the texts costs less than a table of all first columns, nearly the size of the input
+    postings = stash(texts.mapInArrow(_entries(width, percent, levels, columns), ENTRY).join(shared, "token").distinct(), "postings")
     firsts = stash(postings.groupBy("key").agg(F.first("n").alias("n"), F.collect_list("token").alias("tokens")), "firsts")
     sized = postings.join(postings.groupBy("token").agg(F.count("*").alias("size")), "token")
     small = sized.where(F.col("size") <= SMALL_BLOCK).withColumn("comp", F.col("key")).withColumn("reach", F.col("n"))
