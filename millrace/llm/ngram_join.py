@@ -54,7 +54,7 @@ FREQUENCY_BITS, PARTS = 24, 1024
 PART_SLOTS = (1 << FREQUENCY_BITS) // PARTS
 #: Blocks of so many rows are multiplied out at once.
 SMALL_BLOCK = 8
-WORDS_KEPT = 200_000
+WORDS_KEPT = 100_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _SHIFT = np.uint64(29)
 
