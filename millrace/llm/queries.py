@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm import bpe, exact_dedup, fingerprints, license_scan, mixing, ngram_join, pii, secret_scan, toxicity, url_filter
+from millrace.llm.common import stash
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -71,8 +72,8 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every source gets the same share of as many characters as there are."""
-    mixed = mixing.mix(read(spark, sf_dir, "documents"))
+    """Every source gets the same share of as many characters as there are.  The mixed documents are written whole; the rows name them."""
+    mixed = stash(mixing.mix(read(spark, sf_dir, "documents")), "mixed")
     return mixed.select("doc_id", "source", F.col("mix_copy").cast("long").alias("copy"))
 
 

@@ -266,6 +266,21 @@ def test_mixing(odd, docs):
     assert mixing.mix(odd.limit(0)).count() == 0
 
 
+def test_mixing_query_moves_whole_documents(spark):
+    """Behind the query's rows are the mixed documents with their texts and order, each text as it was."""
+    import duckdb
+
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
+    want = con.sql(f"SELECT m.doc_id, m.copy, sha256(coalesce(d.text, '')) FROM ({ORACLE_SQL['op9_mixing']}) m JOIN documents d USING (doc_id)").fetchall()
+    mixed = spark.read.parquet(*QUERIES["op9_mixing"](spark, SF).inputFiles())
+    assert mixed.columns == [*read(spark, SF, "documents").columns, "mix_copy", "mix_order"]
+    got = [tuple(r) for r in mixed.select("doc_id", "mix_copy", F.sha2(F.coalesce("text", F.lit("")), 256)).collect()]
+    assert sorted(got) == sorted(want) and want
+    for part in mixed.withColumn("file", F.input_file_name()).groupBy("file").agg(F.collect_list("mix_order").alias("o")).collect():
+        assert part.o == sorted(part.o)
+
+
 # --- 1 licences
 
 
