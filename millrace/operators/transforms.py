@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.changelog import DELETE, INSERT, META, ROW_KINDS, UPDATE, data_columns, old_value
+from millrace.changelog import DELETE, INSERT, META, ROW_KINDS, UPDATE, collapse, data_columns, old_value
 from millrace.functions.text import crc_shard, go_template, hmac_sha256, text_form
 from millrace.operators.predicate import Unsuitable, compile_filters
 from millrace.operators.selectors import Selector
@@ -374,9 +374,10 @@ class JsonParser(Transform):
 class Sql(Transform):
     """Any SELECT over the view ``table``.
 
-    The result must expose the key; each output row takes its event's kind and order
-    from the input row with that key, and one without a match is an error.  Deletes keep their
-    keys.  Aggregates see the whole table, not a batch of it.
+    A changelog is collapsed first, so the view has a row a key.  The result must expose the key;
+    each output row takes its event's kind and order from the collapsed row with that key, and one
+    without a match is an error.  Deletes keep their keys; control events pass beside the view.
+    Aggregates see the whole table, not a batch of it.
     """
 
     query: str = ""
@@ -386,7 +387,10 @@ class Sql(Transform):
         keys = self.keys or keys_of(df.schema)
         meta = [c for c in df.columns if c in META]
         view = f"table_{abs(hash(self.query)) % 10**8}_{id(df) % 10**8}"
-        live = df.where(F.col("_kind") != DELETE) if meta else df
+        if meta:
+            df = collapse(df, keys, keep_plain_inserts=False)
+        control = ~F.col("_kind").isin(*ROW_KINDS)
+        live = df.where((F.col("_kind") != DELETE) & ~control) if meta else df
         live.select(*data_columns(df)).createOrReplaceTempView(view)
         out = df.sparkSession.sql(self.query.replace("{table}", view) if "{table}" in self.query else f"WITH table AS (SELECT * FROM {view}) {self.query}")
         if not meta:
@@ -396,7 +400,7 @@ class Sql(Transform):
         origin = live.select(*[F.col(k).alias(f"__k_{k}") for k in keys], F.struct(*meta).alias("__meta"))
         met = out.join(origin, [F.col(k).eqNullSafe(F.col(f"__k_{k}")) for k in keys], "left")
         back = met.select(*[F.col(f"__meta.{c}").alias(c) for c in meta], *out.columns, F.col("__meta").isNotNull().alias("__found"))
-        gone = df.where(F.col("_kind") == DELETE).select(*meta, *[old_value(df, c).alias(c) if c in keys else F.lit(None).cast(out.schema[c].dataType).alias(c) for c in out.columns])
+        gone = df.where((F.col("_kind") == DELETE) | control).select(*meta, *[old_value(df, c).alias(c) if c in keys else F.lit(None).cast(out.schema[c].dataType).alias(c) for c in out.columns])
         errors = back.where(~F.col("__found")).drop("__found").withColumn(ERROR, F.lit("no input row has this key"))
         return Result(back.where("__found").drop("__found").unionByName(gone), errors)
 

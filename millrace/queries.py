@@ -185,6 +185,17 @@ def sql_transform(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows(X.Sql(query=inner.replace("FROM table", "FROM {table}"), keys=["event_id"]), log).select("event_id", "event_type", F.col("rank").cast("long").alias("rank"))
 
 
+@query(f"""
+SELECT event_id, event_type, 'insert' AS kind, rank
+FROM (SELECT event_id, event_type, row_number() OVER (PARTITION BY event_type ORDER BY value DESC, event_id) AS rank FROM ({STATE_SQL})) WHERE rank <= 3
+UNION ALL SELECT event_id, NULL, 'delete', 0 FROM events WHERE event_id % 7 = 0 OR event_id % 11 = 0
+""")
+def sql_transform_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The SQL step over inserts, partial updates, deletes and changes of key."""
+    inner = "SELECT event_id, event_type, rank FROM (SELECT event_id, event_type, row_number() OVER (PARTITION BY event_type ORDER BY value DESC, event_id) AS rank FROM {table}) WHERE rank <= 3"
+    return rows(X.Sql(query=inner, keys=["event_id"]), event_changes(spark, sf_dir)).select("event_id", "event_type", F.col("_kind").alias("kind"), F.coalesce(F.col("rank").cast("long"), F.lit(0)).alias("rank"))
+
+
 @query("SELECT event_type, count(*) AS n, round(sum(value), 4) AS total FROM events WHERE value > 10 GROUP BY event_type")
 def sql_models(spark: SparkSession, sf_dir: str) -> DataFrame:
     models = [("large", "SELECT * FROM source WHERE value > 10"), ("by_type", "SELECT event_type, count(*) AS n, round(sum(value), 4) AS total FROM large GROUP BY event_type")]

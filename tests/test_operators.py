@@ -176,6 +176,14 @@ def test_sql_transform(spark):
         X.Sql(query="SELECT v FROM {table}").apply(df)
 
 
+def test_sql_transform_collapses(spark):
+    """Several events of a key are one row of the view; control events pass and join nothing."""
+    rows = [(1, "insert", 1, 5, "a", None, None), (2, "update", 1, 6, "b", None, None), (3, "update", 1, 7, "c", None, None), (4, "insert", 2, 8, "d", None, None), (5, "delete", None, None, None, None, (2, None, None)), (6, "commit", None, None, None, None, None), (7, "commit", None, None, None, None, None)]
+    got = X.Sql(query="SELECT i1, i2 + 1 AS i2 FROM {table}", keys=["i1"]).apply(log(spark, rows))
+    assert sorted(((r._lsn, r._kind, r.i1, r.i2) for r in got.rows.collect()), key=str) == [(3, "insert", 1, 8), (5, "delete", 2, None), (6, "commit", None, None), (7, "commit", None, None)]
+    assert got.errors.count() == 0
+
+
 # --- change algebra
 
 OLD = lambda i, j: (i, j, None)
