@@ -137,6 +137,7 @@ class FilterRowsByIds(Transform):
     """Keeps rows where a chosen text column starts with one of the ids.
 
     Few ids are one disjunction; many are cut to prefixes of each length and met by semi-joins.
+    Control events pass, however many ids there are.
     """
 
     columns: Selector = field(default_factory=Selector)
@@ -148,7 +149,7 @@ class FilterRowsByIds(Transform):
         if not names or not self.ids:
             return Result(df.limit(0))
         values = [F.col(f"`{n}`").cast("string") for n in names]
-        control = ~kind_of(df).isin(*ROW_KINDS)
+        control = F.coalesce(~kind_of(df).isin(*ROW_KINDS), F.lit(False))
         if len(self.ids) < self.join_from:
             hit = F.lit(False)
             for v in values:
@@ -158,9 +159,10 @@ class FilterRowsByIds(Transform):
         lengths = sorted({len(i) for i in self.ids})
         ids = df.sparkSession.createDataFrame([(i,) for i in set(self.ids)], "__id string")
         prefixes = F.array(*[F.substring(v, 1, n) for v in values for n in lengths])
-        keyed = df.withColumn("__row", F.monotonically_increasing_id()).withColumn("__p", prefixes)
+        keyed = df.where(~control).withColumn("__row", F.monotonically_increasing_id()).withColumn("__p", prefixes)
         hits = keyed.select("__row", F.explode("__p").alias("__id")).join(ids, "__id", "left_semi").select("__row").distinct()
-        return Result(keyed.join(hits, "__row", "left_semi").drop("__row", "__p"))
+        kept = keyed.join(hits, "__row", "left_semi").drop("__row", "__p")
+        return Result(kept.unionByName(df.where(control)))
 
 
 @register("mask_field")

@@ -142,6 +142,14 @@ def test_text_transforms(spark):
         assert values(got, "id") == [1]
 
 
+def test_ids_keep_control_events(spark):
+    """Both branches keep a changelog's control events, one that starts with an id just once."""
+    df = spark.createDataFrame([(1, "insert", "abc"), (2, "update", "xyz"), (3, "commit", None), (4, "commit", "abz"), (5, "delete", "q"), (6, None, "xyz"), (7, None, "abc")], "id int, _kind string, s string")
+    for join_from in (0, 1000):
+        got = X.FilterRowsByIds(columns=Selector(include=["^s$"]), ids=["ab", "q"], join_from=join_from).apply(df).rows
+        assert sorted(values(got, "id")) == [1, 3, 4, 5, 7] and got.columns == df.columns
+
+
 def test_documents(spark):
     df = C.as_changelog(spark.sql("SELECT 1 AS id, 'a' AS v, map('k', 'w') AS _rest"), "s", "t")
     doc = values(X.RawDocGrouper(keys=["id"]).apply(df).rows, "doc")[0]
