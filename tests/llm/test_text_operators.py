@@ -166,6 +166,22 @@ def test_toxicity(spark, odd):
     assert {r.score < 0.5 for r in toxicity.score(odd, nothing).collect()} == {True}
 
 
+def test_toxicity_reads_whole_runs():
+    """A toxic word after a hundred joined letters is counted and is evidence, wherever the run starts."""
+    import pyarrow as pa
+
+    joined = "riverstonegardenwindowmarketlettersummerbridgepapercandleforestsilver" * 2
+    counts = collections.Counter()
+    for word, classes in ((joined, (50, 50)), (joined + "zatterlump", (50, 0))):
+        for g in dict.fromkeys(toxicity.grams(word)):
+            counts[g, 0] += classes[0]
+            counts[g, 1] += classes[1]
+    model = toxicity.Model(*toxicity.kneser_ney({g: (counts[g, 0], counts[g, 1]) for g, _ in counts}), (0.0, 0.0, 0.0))
+    runs = [joined[-n:] + end for n in range(100, len(joined)) for end in ("", "zatterlump")] + [joined * 50]
+    found = next(toxicity._features(model)(iter([pa.RecordBatch.from_pydict({"text": runs})]))).column("evidence").to_pylist()
+    assert not any(found[:-1:2]) and all(found[1:-1:2]) and found[-1] == 0
+
+
 def test_held_out(spark):
     got = spark.range(50).select("id", toxicity.held_out(F.col("id")).alias("h")).collect()
     assert all(r.h == (zlib.crc32(str(r.id).encode()) % 5 == 0) for r in got)
