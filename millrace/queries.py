@@ -271,6 +271,20 @@ def dblog_chunk_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merged.select("event_id", F.when(F.col("_table") == "", "chunk").otherwise("log").alias("origin"))
 
 
+@query(f"""
+SELECT event_id, 'chunk' AS origin FROM events WHERE event_id % 3 <> 0 AND event_id % 7 <> 0 AND event_id % 11 <> 0
+UNION ALL SELECT event_id, 'log' FROM events WHERE event_id % 3 = 0 UNION ALL SELECT event_id, 'log' FROM events WHERE event_id % 7 = 0
+UNION ALL SELECT event_id + {MOVED}, 'log' FROM events WHERE event_id % 11 = 0 AND event_id % 7 <> 0
+""")
+def dblog_chunk_merge_moved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole chunk and log, changes of key among them; the chunk holds moved rows under both keys, and both give way."""
+    e = read(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "value")
+    moved = e.where("event_id % 11 = 0 AND event_id % 7 != 0").withColumn("event_id", F.col("event_id") + MOVED)
+    log = event_changes(spark, sf_dir).where((F.col("_lsn") % 10).isin(1, 2, 3))
+    merged = C.chunk_merge(e.unionByName(moved), log, ["event_id"], -1, 2**60)
+    return merged.select("event_id", F.when(F.col("_table") == "", "chunk").otherwise("log").alias("origin"))
+
+
 @query("SELECT event_id, '[' || event_id::VARCHAR || ',\"' || event_type || '\"]' AS key FROM events")
 def key_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
     log = C.as_changelog(read(spark, sf_dir, "events"), "public", "events")
