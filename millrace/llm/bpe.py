@@ -5,8 +5,9 @@ their joined bytes gives these two tokens again.  So the encoder is a transducer
 whose configurations are (last token, bytes read since): a byte extends the bytes
 read, and where they spell a token that is stable after the last one, a
 configuration starts afresh and emits it.  The live configurations are a state of
-the determinised machine.  States and moves are made as the text asks for them, kept in a
-table of bounded size and shared by all texts of a task.  Exactly one configuration
+the determinised machine.  States and moves are made as the text asks for them, kept in
+tables of bounded size (``MAX_STATES``, ``MAX_PIECES``, ``MAX_PAIRS``: some 200 MB in all), shared by all texts of a task and
+emptied when it ends, so that workers that Spark keeps do not hold them.  Exactly one configuration
 spells the whole prefix; outputs that all live ones share are emitted at once, and
 the longest token bounds how far that lags behind.
 
@@ -18,12 +19,15 @@ over whole tokens are tabled lazily; it says after every token whether the text
 a character's end.
 
 Defined cases: null and empty texts have no tokens; invalid ids raise; lone
-surrogates can't occur in Spark strings; further columns are ignored.
+surrogates can't occur in Spark strings; a very long text is encoded whole, piece by piece, and a
+piece of any length in one pass over its bytes; rows repeat as they come, whatever their ids; an empty table
+stays empty; further columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 import base64
+import contextlib
 import functools
 import gc
 import hashlib
@@ -37,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Entries after which a task's tables start afresh.
-MAX_STATES, MAX_PIECES, MAX_PAIRS = 200_000, 400_000, 400_000
+MAX_STATES, MAX_PIECES, MAX_PAIRS = 200_000, 300_000, 300_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -76,17 +80,19 @@ class Transducer:
         self._restart()
 
     def _restart(self) -> None:
-        self.numbers: dict[tuple[int, ...], int] = {}
-        self.states: list[tuple[int, ...]] = []
-        self.moves: list[dict[int, tuple]] = []
-        self.start = self._number((0,))
-
-    def _number(self, configs: tuple[int, ...]) -> int:
-        if (k := self.numbers.get(configs)) is None:
-            k = self.numbers[configs] = len(self.states)
-            self.states.append(configs)
-            self.moves.append({})
-        return k
+        self.states: dict[tuple[int, ...], dict] = {}  # a state: its configurations under -1, its moves under their bytes
+        self.steps: dict[tuple, tuple] = {}  # what many moves have in common
+        self.start = self._state((0,))
+
+    def forget(self) -> None:
+        self.pairs.clear()
+        self.halves.clear()
+        self._restart()
+
+    def _state(self, configs: tuple[int, ...]) -> dict:
+        if (state := self.states.get(configs)) is None:
+            state = self.states[configs] = {-1: configs}
+        return state
 
     def merge(self, piece: bytes, until: int = 1) -> list[int]:
         """Plain BPE of a few bytes, until so many parts are left."""
@@ -134,25 +140,27 @@ class Transducer:
             else:
                 return True
 
-    def _move(self, state: int, byte: int) -> tuple:
-        """(next state, the configurations there come from, the token each emits or -1)."""
+    def _move(self, state: dict, byte: int) -> tuple:
+        """(next state, the configurations there come from, the token each emits or -1, and if only one lives: that it does)."""
         configs, parents, outs = [], [], []
-        child, token_at, inner, bits = self.child, self.token_at, self.inner, self.NODE_BITS
-        mask, ended = (1 << bits) - 1, False
-        for k, c in enumerate(self.states[state]):
-            node = child.get((c & mask) << 8 | byte)
-            if node is None:
+        child, token_at, inner, bits, known = self.child.get, self.token_at, self.inner, self.NODE_BITS, self.pairs.get
+        mask, ended, k = (1 << bits) - 1, False, -1
+        for c in state[-1]:
+            k += 1
+            if (node := child((c & mask) << 8 | byte)) is None:
                 continue
-            if not ended and (token := token_at[node]) >= 0 and (c <= mask or self.stable((c >> bits) - 1, token)):
-                ended = True
-                configs.append(token + 1 << bits)
-                parents.append(k)
-                outs.append(token)
+            if not ended and (token := token_at[node]) >= 0:
+                if c <= mask or (ok if (ok := known((c >> bits) - 1 << 20 | token)) is not None else self.stable((c >> bits) - 1, token)):
+                    ended = True
+                    configs.append(token + 1 << bits)
+                    parents.append(k)
+                    outs.append(token)
             if inner[node]:
                 configs.append(c & ~mask | node)
                 parents.append(k)
                 outs.append(-1)
-        move = self.moves[state][byte] = self._number(tuple(configs)), parents, outs
+        step = tuple(parents), tuple(outs), len(outs) == 1
+        move = state[byte] = self._state(tuple(configs)), *self.steps.setdefault(step, step)
         return move
 
     def encode(self, piece: bytes) -> list[int]:
@@ -161,28 +169,32 @@ class Transducer:
         if len(self.states) > MAX_STATES:
             self._restart()
         done: list[int] = []
-        state, moves, trail = self.start, self.moves, []  # trail: the moves whose output is not yet common to all
+        state, trail = self.start, []  # trail: the moves whose output is not yet common to all
         for byte in piece:
-            move = moves[state].get(byte) or self._move(state, byte)
+            move = state.get(byte) or self._move(state, byte)
             state = move[0]
-            trail.append(move)
-            if len(move[1]) == 1:  # one configuration lives: its output is final
+            if not move[3]:
+                trail.append(move)
+            elif trail:  # one configuration lives: its output is final
+                trail.append(move)
                 done += self._output(trail, 0)
                 trail.clear()
                 if len(self.states) > MAX_STATES:
-                    configs = self.states[state]
+                    configs = state[-1]
                     self._restart()
-                    moves, state = self.moves, self._number(configs)
-        mask = (1 << self.NODE_BITS) - 1
+                    state = self._state(configs)
+            elif (token := move[2][0]) >= 0:
+                done.append(token)
         if trail:
-            done += self._output(trail, next(k for k, c in enumerate(self.states[state]) if not c & mask))
+            mask = (1 << self.NODE_BITS) - 1
+            done += self._output(trail, next(k for k, c in enumerate(state[-1]) if not c & mask))
         return done
 
     @staticmethod
     def _output(trail: list[tuple], k: int) -> list[int]:
         """What the k-th configuration at the trail's end has emitted along it."""
         out = []
-        for _, parents, outs in reversed(trail):
+        for _, parents, outs, _ in reversed(trail):
             if (token := outs[k]) >= 0:
                 out.append(token)
             k = parents[k]
@@ -246,12 +258,20 @@ class Decoder:
 
 @functools.lru_cache(maxsize=4)
 def codec(path: str, pattern: str) -> Codec:
-    """One codec a worker process, so tasks go on with the tables of those before.
+    """One codec a worker process: the vocabulary is read once, its tables are emptied by :func:`in_use`."""
+    return Codec(path, pattern)
 
-    Its millions of small objects hold no cycles: the collector looks at them rarely.
-    """
+
+@contextlib.contextmanager
+def in_use(path: str, pattern: str) -> Iterator[Codec]:
+    """The codec for the time of a task.  Its millions of small objects hold no cycles: the collector looks at them rarely."""
+    own, before = codec(path, pattern), gc.get_threshold()
     gc.set_threshold(200_000, 50, 100)
-    return Codec(path, pattern)
+    try:
+        yield own
+    finally:
+        own.forget()
+        gc.set_threshold(*before)
 
 
 class Codec:
@@ -268,6 +288,12 @@ class Codec:
         self.packed: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
 
+    def forget(self) -> None:
+        self.packed.clear()
+        self.words.clear()
+        self.transducer.forget()
+        self.decoder.steps.clear()
+
     def _pack_piece(self, piece: str) -> bytes:
         if (out := self.packed.get(piece)) is None:
             if len(self.packed) >= MAX_PIECES:
@@ -285,7 +311,12 @@ class Codec:
         """A space and a word; None for a word that can't be cut off by itself."""
         if not word or word[0].isspace() or word[-1].isspace():
             return None
-        out = self._pack(" " + word)
+        pieces = self.pieces.findall(" " + word)
+        if len(pieces) > 1:
+            out = b"".join(map(self._pack_piece, pieces))
+        else:  # kept as a word, not as a piece as well
+            ids = self.transducer.encode(pieces[0].encode())
+            out = struct.pack(f"<{len(ids)}I", *ids)
         if len(word) <= 100:
             if len(self.words) >= MAX_PIECES:
                 self.words.clear()
@@ -317,10 +348,10 @@ def encode(docs: DataFrame, path: str, pattern: str, id_column: str = "doc_id",
     """Rows (doc_id, ids array<long>): the tokens of every text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = codec(path, pattern)
-        for batch in batches:
-            ids = [memoryview(own.encode(t.as_py() or "")).cast("I").tolist() for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int64()))], names=["doc_id", "ids"])
+        with in_use(path, pattern) as own:
+            for batch in batches:
+                ids = [memoryview(own.encode(t.as_py() or "")).cast("I").tolist() for t in batch.column(1)]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int64()))], names=["doc_id", "ids"])
 
     return docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text")).mapInArrow(run, f"doc_id {dict(docs.dtypes)[id_column]}, ids array<long>")
 
@@ -341,15 +372,15 @@ def round_trip(docs: DataFrame, path: str, pattern: str, id_column: str = "doc_i
     """Rows (doc_id, n_tokens, ids_sha256, decoded_sha256, whole): encodes each text and decodes its ids, in one pass without a shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = codec(path, pattern)
-        for batch in batches:
-            rows = []
-            for t in batch.column(1):
-                ids = own.encode(t.as_py() or "")
-                data, whole = own.decode(ids)
-                rows.append((len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(data).hexdigest(), whole))
-            cols = list(zip(*rows, strict=True)) or [[], [], [], []]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.string()), pa.array(cols[3], pa.bool_())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "whole"])
+        with in_use(path, pattern) as own:
+            for batch in batches:
+                rows = []
+                for t in batch.column(1):
+                    ids = own.encode(t.as_py() or "")
+                    data, whole = own.decode(ids)
+                    rows.append((len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(data).hexdigest(), whole))
+                cols = list(zip(*rows, strict=True)) or [[], [], [], []]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.string()), pa.array(cols[3], pa.bool_())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "whole"])
 
     schema = f"doc_id {dict(docs.dtypes)[id_column]}, n_tokens long, ids_sha256 string, decoded_sha256 string, whole boolean"
     return docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text")).mapInArrow(run, schema)
