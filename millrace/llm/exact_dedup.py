@@ -17,7 +17,7 @@ Defined cases: a null text counts as empty and all empty texts are one group;
 a null ``doc_id`` loses to any other and stays only in a group without
 identifiers; rows that repeat text *and* ``doc_id`` are one document - all of
 them are marked kept, and :func:`deduplicate` leaves one of them; an empty table
-gives an empty result; further columns are ignored here and carried through by
+gives an empty result; very long texts count as one digest each; further columns are ignored here and carried through by
 :func:`deduplicate`, whatever their names.
 """
 
@@ -124,4 +124,4 @@ def deduplicate(docs: DataFrame, keep: str = "min", id_column: str = "doc_id", t
     same = [F.col(f"__{k}") == F.col(f"__w_{k}") for k in KEY]
     kept = rows.join(won, [*same, F.col(id_column).cast("long").eqNullSafe(F.col("__keep"))])
     repeated = kept.where("__ties > 1").dropDuplicates(keys)
-    return kept.where("__ties = 1").unionByName(repeated).select(*docs.columns)
+    return kept.where("__ties = 1").unionByName(repeated).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -15,7 +15,9 @@ Defined cases: a null source is a source of its own; a null text counts as empty
 a null identifier draws as the text 'null'; rows that repeat an identifier draw
 alike; a source without characters has rate 0, as has one whose target is 0; a
 target for an absent source is left out and the others are scaled up; an empty
-table stays empty; further columns are carried through.
+table stays empty; very long texts travel as they are; further columns are carried through, whatever their
+names: only a ``mix_copy`` or ``mix_order`` of the input gives way to the one that is made, and not with ``places``
+off.
 """
 
 from __future__ import annotations
@@ -71,18 +73,21 @@ def source_rates(docs: DataFrame, targets: dict[str | None, float] | None, budge
     return sizes.select("__source", "__chars", rate.alias("__rate"))
 
 
-def mix(docs: DataFrame, targets: dict[str | None, float] | None = None, budget: float | None = None, seed: int = 7, doc_id: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
-    """The mixed documents: the input columns, then ``mix_copy`` (from 0) and ``mix_order`` (long, the place in the shuffle)."""
+def mix(docs: DataFrame, targets: dict[str | None, float] | None = None, budget: float | None = None, seed: int = 7, doc_id: str = "doc_id", source: str = "source", text: str = "text", places: bool = True) -> DataFrame:
+    """The mixed documents: the input columns, then, with ``places``, ``mix_copy`` (from 0) and ``mix_order`` (long, the place in the shuffle)."""
     spark = docs.sparkSession
     rates = stash(source_rates(docs, targets, budget, source, text), "rates")
     if rates.count() <= BROADCAST_SOURCES:
         rates = F.broadcast(rates)
     ident = F.coalesce(F.col(doc_id).cast("string"), F.lit("null"))
-    rows = docs.join(rates, F.col(source).eqNullSafe(F.col("__source")))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), ident.alias("ident"), F.col(source).alias("source"))
+    rows = rows.join(rates, F.col("source").eqNullSafe(F.col("__source")))
     parts = F.greatest(F.ceil(F.col("__rate") / PART), F.lit(1))
-    draw = lambda i: poisson_quantile(F.col("__rate") / parts, uniform(F.lit(str(seed)), ident, i.cast("string")))
+    draw = lambda i: poisson_quantile(F.col("__rate") / parts, uniform(F.lit(str(seed)), F.col("ident"), i.cast("string")))
     count = F.aggregate(F.sequence(F.lit(0).cast("bigint"), parts - 1), F.lit(0), lambda n, i: n + draw(i))
     rows = rows.withColumn("__n", count).where("__n > 0")
-    rows = rows.select(*docs.columns, F.explode(F.sequence(F.lit(0), F.col("__n") - 1)).alias("mix_copy"))
-    rows = rows.withColumn("mix_order", F.xxhash64(F.lit(seed), ident, F.col("mix_copy")))
-    return rows.repartition(shuffle_partitions(spark), "mix_order").sortWithinPartitions("mix_order", "mix_copy")
+    rows = rows.select("row", "ident", F.explode(F.sequence(F.lit(0), F.col("__n") - 1)).alias("mix_copy"))
+    rows = rows.withColumn("mix_order", F.xxhash64(F.lit(seed), "ident", "mix_copy"))
+    rows = rows.repartition(shuffle_partitions(spark), "mix_order").sortWithinPartitions("mix_order", "mix_copy")
+    made = ["mix_copy", "mix_order"] if places else []
+    return rows.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns if c not in made], *made)

@@ -11,7 +11,7 @@ import pytest
 import regex
 from pyspark.sql import functions as F
 
-from millrace.llm import bpe, common, exact_dedup, fingerprints, license_scan, mixing, ngram_join, pii, secret_scan, toxicity, url_filter
+from millrace.llm import bpe, common, exact_dedup, fingerprints, license_scan, mixing, ngram_join, pii, secret_scan, spans, toxicity, url_filter
 from millrace.llm.queries import ORACLE_SQL, QUERIES, URL_RULES, read, tokenizer
 
 SF = "/root/testdata/sf0.001"
@@ -27,7 +27,7 @@ ODD = [
 @pytest.fixture(scope="module")
 def odd(spark):
     df = spark.createDataFrame(ODD, "doc_id long, text string, source string")
-    return df.select("*", F.lit(1).alias("digest"), F.lit("k").alias("key"), F.lit(2).alias("n"), F.lit("x").alias("fingerprint"), F.lit(0).alias("run")).repartition(3)
+    return df.select("*", F.lit(1).alias("mix_copy"), F.lit(0).alias("__n"), F.lit("e").alias("__evidence"), F.lit(3).alias("my col"), F.lit(4).alias("a-b"), F.lit(1).alias("digest"), F.lit("k").alias("key"), F.lit(2).alias("n"), F.lit("x").alias("fingerprint"), F.lit(0).alias("run")).repartition(3)
 
 
 @pytest.fixture(scope="module")
@@ -117,9 +117,14 @@ def test_ngram_group_of_near_copies(spark):
     assert sorted(str(tuple(r)) for r in ngram_join.ngram_components(df).collect()) == brute_components(rows)
 
 
+def test_ngram_names_that_clash(spark, odd):
+    """Classes whose short names clash are named anew."""
+    assert sorted(str(tuple(r)) for r in ngram_join.ngram_components(odd, bits=2).collect()) == brute_components(texts(odd))
+
+
 def test_components(spark):
-    edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (103, 101), (7, 7)], "u long, v long")
-    assert {r.node: r.root for r in common.components(edges).collect()} == {i: 0 for i in range(41)} | {100: 100, 101: 100, 103: 100}
+    edges = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(1000, 1001), (1003, 1001), (7, 7)], "u long, v long")
+    assert {r.node: r.root for r in common.components(edges).collect()} == {i: 0 for i in range(201)} | {1000: 1000, 1001: 1000, 1003: 1000}
     assert common.components(edges.limit(0)).count() == 0
 
 
@@ -171,30 +176,79 @@ def test_toxicity_reads_whole_runs():
     import pyarrow as pa
 
     joined = "riverstonegardenwindowmarketlettersummerbridgepapercandleforestsilver" * 2
-    counts = collections.Counter()
-    for word, classes in ((joined, (50, 50)), (joined + "zatterlump", (50, 0))):
-        for g in dict.fromkeys(toxicity.grams(word)):
-            counts[g, 0] += classes[0]
-            counts[g, 1] += classes[1]
-    model = toxicity.Model(*toxicity.kneser_ney({g: (counts[g, 0], counts[g, 1]) for g, _ in counts}), (0.0, 0.0, 0.0))
+    rows = [("x " + joined, 0)] * 50 + [("y " + joined + "zatterlump", 1)] * 50
+    model = toxicity.make_model(*plain_kneser_ney(plain_gram_counts(rows)))
     runs = [joined[-n:] + end for n in range(100, len(joined)) for end in ("", "zatterlump")] + [joined * 50]
-    found = next(toxicity._features(model)(iter([pa.RecordBatch.from_pydict({"text": runs})]))).column("evidence").to_pylist()
+    found = toxicity.text_features(pa.array(runs), model)[2].tolist()
     assert not any(found[:-1:2]) and all(found[1:-1:2]) and found[-1] == 0
 
 
+def plain_gram_counts(rows):
+    counts = collections.defaultdict(lambda: [0, 0])
+    for text, toxic in rows:
+        for w in set(re.findall(r"[^\W\d_]+", (text or "").lower())):
+            for g in {f"^{w}$"[max(0, i - toxicity.ORDER + 1) : i + 1] for i in range(1, len(w) + 2)}:
+                counts[g][1 - toxic] += 1
+    return {g: tuple(c) for g, c in counts.items()}
+
+
+def plain_kneser_ney(counts):
+    """Log ratios of grams and of contexts, by the definition."""
+    tails = {g[a:] for g in counts for a in range(len(g) - 1)}
+    left = collections.Counter(s[1:] for s in tails)
+    D = toxicity.DISCOUNT
+
+    def shared(g):
+        if not g:
+            return 1 / toxicity.ALPHABET
+        same = [t for t in left if t[:-1] == g[:-1]]
+        back = shared(g[1:])
+        return (max(left[g] - toxicity.SHARED_DISCOUNT, 0) + toxicity.SHARED_DISCOUNT * len(same) * back) / sum(left[t] for t in same)
+
+    def kept(h, k):
+        whole = sum(c[k] for g, c in counts.items() if g[:-1] == h)
+        return whole, sum(min(c[k], D) for g, c in counts.items() if g[:-1] == h) / whole if whole else 1.0
+
+    of_context = {h: r for h in {g[:-1] for g in counts} if abs(r := math.log(kept(h, 0)[1] / kept(h, 1)[1])) > 1e-3}
+    of_gram = {}
+    for g, c in counts.items():
+        if max(c) > D:
+            p = [(max(c[k] - D, 0) / whole if whole else 0) + rest * shared(g[1:]) for k in (0, 1) for whole, rest in [kept(g[:-1], k)]]
+            of_gram[g] = math.log(p[0] / p[1])
+    return of_gram, of_context
+
+
+def test_kneser_ney_by_definition(spark):
+    """Counts, both tables of ratios, and the features of texts against a plain computation."""
+    import pyarrow as pa
+
+    rows = [("Idiot idea, the THEN ideal", 1)] * 6 + [("the then idea other 12 ünder", 0)] * 5 + [("idiot's then once", 0), (None, 1), ("", 0), ("the the the", 1)]
+    counts = plain_gram_counts(rows)
+    found = toxicity.gram_counts(spark.createDataFrame(rows, "text string, toxic int").repartition(3))
+    assert {r.gram: (r.toxic, r.ordinary) for r in found.collect()} == counts
+    of_gram, of_context = plain_kneser_ney(counts)
+    got = [{r[0]: r.ratio for r in t.collect()} for t in toxicity.log_ratios(found)[:2]]
+    assert got == [pytest.approx(of_gram), pytest.approx(of_context)] and of_gram and of_context
+    model = toxicity.make_model(of_gram, of_context)
+    texts = ["idiot", "Idiotic ideas, then-once_more 7", "zzz", None, " ", "the " * 50 + "IDIOT", "x" * 100]
+    n, log_ratio, evidence = toxicity.text_features(pa.array(texts), model)
+    for k, t in enumerate(texts):
+        total = strong = 0.0
+        words = len((t or "").split())
+        for e in re.findall(r"[^\W\d_]+", (t or "").lower()):
+            gs = list(toxicity.grams(e))
+            ratio = sum(of_gram.get(g, 0.0 if len(e) > toxicity.LONGEST else of_context.get(g[:-1], 0.0)) for g in gs)
+            words += len(e) // toxicity.ORDER if len(e) > toxicity.LONGEST else 0
+            total += ratio
+            strong += max(ratio - toxicity.MARGIN, 0) if len(e) <= toxicity.LONGEST else 0
+        assert n[k] == words and log_ratio[k] == pytest.approx(total / (words + toxicity.LENGTH_PRIOR), abs=1e-5) and evidence[k] == pytest.approx(strong / (words + toxicity.LENGTH_PRIOR), abs=1e-5)
+
+
 def test_held_out(spark):
     got = spark.range(50).select("id", toxicity.held_out(F.col("id")).alias("h")).collect()
     assert all(r.h == (zlib.crc32(str(r.id).encode()) % 5 == 0) for r in got)
 
 
-def test_kneser_ney_is_a_distribution():
-    counts = collections.Counter(g for w in ("idiot", "idiot", "idea", "ideal", "the", "then") * 4 for g in toxicity.grams(w))
-    of_gram, of_context = toxicity.kneser_ney({g: (n, 0) for g, n in counts.items()})
-    assert all(math.isfinite(v) for v in (*of_gram.values(), *of_context.values()))
-    same, _ = toxicity.kneser_ney({g: (n, n) for g, n in counts.items()})
-    assert all(abs(v) < 1e-12 for v in same.values())
-
-
 # --- 5 BPE
 
 
@@ -277,7 +331,8 @@ def test_mixing(odd, docs):
                     n += poisson_count(rate / parts, (h + 0.5) / 16**12)
                 want[i, s] += n
         mixed = mixing.mix(frame, targets, budget)
-        assert mixed.columns == [*frame.columns, "mix_copy", "mix_order"]
+        assert mixed.columns == [*[c for c in frame.columns if c != "mix_copy"], "mix_copy", "mix_order"]
+        assert mixing.mix(frame, targets, budget, places=False).columns == frame.columns
         assert collections.Counter((r.doc_id, r.source) for r in mixed.collect()) == +want
     assert mixing.mix(odd.limit(0)).count() == 0
 
@@ -297,6 +352,19 @@ def test_mixing_query_moves_whole_documents(spark):
         assert part.o == sorted(part.o)
 
 
+def test_places_of_many_matches(spark):
+    """Places are exact across chunks, and a text with 16,000 matches takes no quadratic time."""
+    import time
+
+    for n in (0, 1, 63, 64, 65, 129, 16_000):
+        t = "".join("é" * (i % 3) + "ab" + "c" * (i % 5) + " " for i in range(n))
+        df = spark.createDataFrame([(t,)], "t string")
+        began = time.time()
+        got = df.select(spans.matches(F.col("t"), "abc*").alias("m")).first().m
+        assert [(m.start, m.end, m.value) for m in got] == [(m.start(), m.end(), m[0]) for m in re.finditer("abc*", t)]
+        assert time.time() - began < 15
+
+
 # --- 1 licences
 
 
