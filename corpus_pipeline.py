@@ -29,7 +29,7 @@ def ngram_join_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every source gets the same share; a document may come several times or not at all."""
-    return mixing.mix(docs).select(*docs.columns)
+    return mixing.mix(docs, places=False)
 
 
 def byte_bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,5 +53,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages, each written to the shared folder and read again, over ``documents``."""
     docs = read(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = common.stash(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        before, docs = docs, common.stash(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        common.release(before)
     return STAGES[-1][1](spark, docs, sf_dir)
