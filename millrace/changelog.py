@@ -218,8 +218,9 @@ def chunk_merge(chunk: DataFrame, log: DataFrame, keys: list[str], low: int, hig
     """A chunk of a running snapshot: rows whose key the log changed between the two watermarks give way to the log's events."""
     between = log.where((F.col("_lsn") > low) & (F.col("_lsn") <= high))
     touched = between.select(*[old_value(between, k).alias(k) for k in keys]).unionByName(between.select(*keys)).distinct()
-    rest = as_changelog(chunk.join(touched, keys, "left_anti").select(*chunk.columns), "", "")
-    return rest.withColumn("_lsn", F.lit(high).cast("bigint")).unionByName(between.drop("_old", "_present").select(*rest.columns))
+    rest = as_changelog(chunk.join(touched, keys, "left_anti").select(*chunk.columns), "", "").withColumn("_lsn", F.lit(high).cast("bigint"))
+    kept = [*rest.columns, *[c for c in ("_present", "_old") if c in log.columns]]  # what a partial update carries, and its key before
+    return rest.unionByName(between.select(*kept), allowMissingColumns=True)
 
 
 def transactions(df: DataFrame) -> DataFrame:

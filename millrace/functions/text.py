@@ -84,11 +84,12 @@ def fnv32a(text: Column) -> Column:
 
 def unescape_tskv(text: Column) -> Column:
     r"""``\\ \n \r \t \=`` undone; with any other escape the text stays as it is."""
-    mark = "\u0001"
-    done = F.replace(text, F.lit("\\\\"), F.lit(mark))
-    for escape, char in (("\\n", "\n"), ("\\r", "\r"), ("\\t", "\t"), ("\\=", "=")):
-        done = F.replace(done, F.lit(escape), F.lit(char))
-    done = F.replace(done, F.lit(mark), F.lit("\\"))
+    def between(part: Column) -> Column:  # escaped backslashes are cut out first, so no mark has to stand for them
+        for escape, char in (("\\n", "\n"), ("\\r", "\r"), ("\\t", "\t"), ("\\=", "=")):
+            part = F.replace(part, F.lit(escape), F.lit(char))
+        return part
+
+    done = F.array_join(F.transform(F.split(text, r"\\\\", -1), between), "\\")
     return F.when(text.rlike(r"^(?:[^\\]|\\[\\nrt=])*$"), done).otherwise(text)
 
 

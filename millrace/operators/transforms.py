@@ -8,6 +8,7 @@ gives the rows it passes and those it can't handle, with ``__transform_error``.
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
@@ -394,7 +395,12 @@ class Sql(Transform):
         control = ~F.col("_kind").isin(*ROW_KINDS)
         live = df.where((F.col("_kind") != DELETE) & ~control) if meta else df
         live.select(*data_columns(df)).createOrReplaceTempView(view)
-        out = df.sparkSession.sql(self.query.replace("{table}", view) if "{table}" in self.query else f"WITH table AS (SELECT * FROM {view}) {self.query}")
+        if "{table}" in self.query:
+            query = self.query.replace("{table}", view)
+        else:  # a query that starts with WITH goes on from the view's own definition
+            more = re.match(r"(?is)\s*WITH\s+(?!RECURSIVE\b)", self.query)
+            query = f"WITH table AS (SELECT * FROM {view})" + (f", {self.query[more.end():]}" if more else f" {self.query}")
+        out = df.sparkSession.sql(query)
         if not meta:
             return Result(out)
         if missing := [k for k in keys if k not in out.columns]:

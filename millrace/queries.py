@@ -367,6 +367,23 @@ def schema_registry_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got[7].rows.select("event_id", "event_type")
 
 
+@query(
+    """
+    SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'row' WHEN 1 THEN 'the body is no JSON object' WHEN 2 THEN 'unknown schema 9'
+                     ELSE 'no head of a zero byte and a schema''s number' END AS reason FROM events
+    """
+)
+def schema_registry_sides(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Good messages, and those with a broken body, an unknown schema and no head: each is a row or unparsed, none is lost."""
+    json_body = F.to_json(F.struct("event_id"))
+    head = F.when(F.col("event_id") % 4 == 2, F.unhex(F.lit("0000000009"))).when(F.col("event_id") % 4 == 3, F.unhex(F.lit("01"))).otherwise(F.unhex(F.lit("0000000007")))
+    text = F.when(F.col("event_id") % 4 == 1, F.concat(F.lit("{"), json_body)).otherwise(json_body)
+    got = M.SchemaRegistryJson({7: "event_id bigint"}).parse(M.as_messages(read(spark, sf_dir, "events"), "t", F.concat(head, text.cast("binary"))))
+    number = F.regexp_extract(F.decode("value", "ISO-8859-1"), r'event_id":(\d+)', 1).cast("bigint").alias("event_id")
+    bad = got[7].unparsed.unionByName(got[None].unparsed).select(number, "reason")
+    return got[7].rows.select("event_id", F.lit("row").alias("reason")).unionByName(bad)
+
+
 # --- snapshots, samples, checks ---------------------------------------------------------------------------
 
 

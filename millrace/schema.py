@@ -79,7 +79,7 @@ def strictify(value: Column, canonical: str) -> Column:
         return value.cast(target)
     low, high = RANGES[canonical]
     number = value.try_cast("decimal(38,6)")
-    fits = number.between(F.lit(str(low)).cast("decimal(38,0)"), F.lit(str(high)).cast("decimal(38,0)"))
+    fits = number.between(F.lit(str(low)).cast("decimal(38,0)"), F.lit(str(high)).cast("decimal(38,0)")) & (number == F.floor(number))
     wrong = F.raise_error(F.concat(F.lit(f"not a value of {canonical}: "), value.cast("string")))
     return F.when(value.isNull(), F.lit(None).cast(target)).when(fits, number.cast(target)).otherwise(wrong.cast(target))
 

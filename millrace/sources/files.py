@@ -90,12 +90,17 @@ def read_csv(spark: SparkSession, path: str, options: CsvOptions | None = None)
     names = o.names or ([f"f{i}" for i in range(len(first))] if o.generate_names else first)
     sample = cut(head[1]) if header and len(head) > 1 else [] if header else first
     kinds = [csv_type(sample[i], o) if i < len(sample) else "utf8" for i in range(len(names))]
-    reader = spark.read.schema(T.StructType([T.StructField(n, T.StringType()) for n in [*names, "_broken"]])).options(sep=o.delimiter, quote=o.quote, escape=o.escape, encoding=o.encoding, multiLine=o.multiline, header=header and o.skip_rows == 0, mode="PERMISSIVE", columnNameOfCorruptRecord="_broken")
+    reader = spark.read.schema(T.StructType([T.StructField(n, T.StringType()) for n in [*names, "_broken"]])).options(sep=o.delimiter, quote=o.quote, escape=o.escape, encoding=o.encoding, multiLine=o.multiline, header=header and o.skip_rows == 0, mode="PERMISSIVE", columnNameOfCorruptRecord="_broken", columnPruning=False)  # a line is broken whatever columns are asked for
     df = reader.csv(path)
     if o.skip_rows:
-        skipped = [(n,) for n in [r.value for r in spark.read.text(path).limit(o.skip_rows + header).collect()]]
-        lines = spark.read.text(path).join(F.broadcast(spark.createDataFrame(skipped, "value string")), "value", "left_anti")
-        df = lines.select(F.from_csv("value", df.schema.simpleString()[7:-1].replace(":", " "), {"sep": o.delimiter, "quote": o.quote}).alias("r")).select("r.*")
+        # each file's own first lines go, by their place: the split that starts a file has them in front
+        from pyspark.sql import Window
+
+        top = Window.partitionBy("__file").orderBy("__place")
+        lines = spark.read.option("encoding", o.encoding).text(path).select("value", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.file_block_start").alias("__start"), F.monotonically_increasing_id().alias("__place"))
+        skipped = lines.where("__start = 0").withColumn("__n", F.row_number().over(top)).where(F.col("__n") <= o.skip_rows + header).groupBy("__file").agg(F.max("__place").alias("__last"))
+        lines = lines.join(skipped, "__file", "left").where(F.col("__last").isNull() | (F.col("__start") > 0) | (F.col("__place") > F.col("__last")))
+        df = lines.select(F.from_csv("value", df.schema.simpleString()[7:-1].replace(":", " "), {"sep": o.delimiter, "quote": o.quote, "escape": o.escape, "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_broken"}).alias("r")).select("r.*")
     out = []
     for n, kind in zip(names, kinds, strict=True):
         c = F.col(f"`{n}`")
@@ -106,8 +111,10 @@ def read_csv(spark: SparkSession, path: str, options: CsvOptions | None = None)
         elif kind == "double":
             c = (F.translate(c, o.decimal_point, ".") if o.decimal_point != "." else c).try_cast("double")
         out.append(c.alias(n, metadata={"canonical": kind}))
-    bad = df.where("_broken IS NOT NULL").select("_broken") if not o.skip_rows else None
-    rows = (df.where("_broken IS NULL") if not o.skip_rows else df).select(*out)
+    # a condition that always holds, but reads a column: Spark refuses to read the broken text alone
+    read = F.coalesce(F.length(f"`{names[0]}`"), F.lit(0)) >= 0
+    bad = df.where(F.col("_broken").isNotNull() & read).select(F.col("_broken").alias("unparsed_row"))
+    rows = df.where(F.col("_broken").isNull() & read).select(*out)
     if o.include:
         if (missing := [n for n in o.include if n not in names]) and not o.include_missing:
             raise ValueError(f"no columns {missing} in {path}")

@@ -228,18 +228,28 @@ class Debezium:
 
 @dataclass
 class SchemaRegistryJson:
-    """A zero byte, the schema's number as four bytes, then JSON; ``schemas`` maps numbers to Spark schemas."""
+    """A zero byte, the schema's number as four bytes, then JSON; ``schemas`` maps numbers to Spark schemas.
+
+    The frames of messages without such a head or of an unknown schema, and of bodies that are no JSON object, are unparsed,
+    with their bytes; each is in the side table once: of its schema's number, or of None.
+    """
 
     schemas: dict[int, str]
 
-    def parse(self, messages: DataFrame) -> dict[int, Parsed]:
+    def parse(self, messages: DataFrame) -> dict[int | None, Parsed]:
         head = F.hex(F.substring("value", 1, 5))
         number = F.when((F.octet_length("value") >= 5) & head.startswith("00"), F.conv(F.substring(head, 3, 8), 16, 10).cast("int"))
         rows = messages.withColumn("__schema", number).withColumn("__body", F.expr("substring(value, 6)").cast("string"))
-        out = {}
+        valid = F.try_parse_json("__body").isNotNull() & F.ltrim("__body").startswith("{")
+        side = lambda df, reason: df.select("topic", "partition", "offset", "value", reason.alias("reason"))
+        out: dict[int | None, Parsed] = {}
         for k, schema in self.schemas.items():
-            mine = rows.where(F.col("__schema") == k).withColumn("__e", F.from_json("__body", schema))
-            out[k] = Parsed(mine.where("__e IS NOT NULL").select("topic", "partition", "offset", "__e.*"), mine.where("__e IS NULL").drop("__e"))
+            mine = rows.where(F.col("__schema") == k).withColumn("__ok", valid)
+            good = mine.where("__ok").withColumn("__e", F.from_json("__body", schema)).select("topic", "partition", "offset", "__e.*")
+            out[k] = Parsed(good, side(mine.where("NOT __ok"), F.lit("the body is no JSON object")))
+        known = F.coalesce(F.col("__schema").isin(*self.schemas), F.lit(False))
+        reason = F.when(F.col("__schema").isNull(), F.lit("no head of a zero byte and a schema's number")).otherwise(F.concat(F.lit("unknown schema "), F.col("__schema").cast("string")))
+        out[None] = Parsed(messages.limit(0), side(rows.where(~known), reason))
         return out
 
 

@@ -19,7 +19,8 @@ def key_ranges(df: DataFrame, key: str, parts: int) -> list[str]:
     bounds = sorted(set(df.agg(F.percentile_approx(key, [i / parts for i in range(1, parts)], 10_000).alias("b")).first()["b"] or []))
     if not bounds:
         return []
-    lit = lambda v: repr(v) if isinstance(v, (int, float)) else f"'{v}'"
+    quoted = lambda v: str(v).replace("\\", "\\\\").replace("'", "\\'")
+    lit = lambda v: repr(v) if isinstance(v, (int, float)) else f"'{quoted(v)}'"
     out = [f"{key} < {lit(bounds[0])} OR {key} IS NULL"]
     out += [f"{key} >= {lit(a)} AND {key} < {lit(b)}" for a, b in zip(bounds, bounds[1:], strict=False)]
     return [*out, f"{key} >= {lit(bounds[-1])}"]

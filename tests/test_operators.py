@@ -350,3 +350,50 @@ def test_writers(spark, tmp_path):
     t = spark.sql("SELECT timestamp'2024-05-31 17:20:00' AS t")
     name = lambda unit, size: values(t, serialize.rotated_table(F.lit("x"), F.col("t"), unit, size))[0]
     assert (name("h", 5), name("d", 7), name("m", 4)) == ("x/2024-05-31T15:00:00", "x/2024-05-29", "x/2024-05")
+
+
+# --- nothing is lost
+
+
+def test_schema_registry_keeps_bad_messages(spark):
+    frames = [b"\0\0\0\0\x07" + b'{"a": 1}', b"\0\0\0\0\x07" + b'{"a": ', b"\0\0\0\0\x09" + b"{}", b"abc", b"\x01\0\0\0\x07{}", None]
+    df = spark.createDataFrame([(i, f) for i, f in enumerate(frames)], "id long, v binary")
+    sent = df.select(F.lit("t").alias("topic"), F.lit(0).alias("partition"), F.col("id").alias("offset"), F.lit(None).cast("binary").alias("key"), F.col("v").alias("value"), F.current_timestamp().alias("timestamp"))
+    got = messages.SchemaRegistryJson({7: "a int"}).parse(sent)
+    assert [(r.offset, r.a) for r in got[7].rows.collect()] == [(0, 1)]
+    assert values(got[7].unparsed, "offset") == [1] and sorted(values(got[None].unparsed, "offset")) == [2, 3, 4, 5]
+
+
+def test_csv_skips_each_files_first_lines_only(spark, tmp_path):
+    for n in ("a", "b"):
+        (tmp_path / f"{n}.csv").write_text(f"junk\nx,y\n1,{n}\njunk,junk\nx,y\n")
+    got = files.read_csv(spark, str(tmp_path), files.CsvOptions(skip_rows=1, names=["x", "y"]))
+    assert got.rows.count() == 8
+    headed = files.read_csv(spark, str(tmp_path), files.CsvOptions(skip_rows=1))
+    assert sorted(map(str, (r.y for r in headed.rows.collect()))) == ["a", "b", "junk", "junk", "y", "y"]
+
+
+def test_csv_broken_lines_can_be_read(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("x,y\n1,b\n2,c,d\n")
+    got = files.read_csv(spark, str(tmp_path))
+    assert [r.unparsed_row for r in got.unparsed.collect()] == ["2,c,d"] and got.rows.count() == 1
+
+
+def test_chunk_merge_keeps_presence(spark):
+    chunk = spark.createDataFrame([(1, "a", "x"), (2, "b", "y")], "id int, v string, w string")
+    log = C.as_changelog(spark.createDataFrame([(1, "z", None)], "id int, v string, w string"), "", "").withColumn("_kind", F.lit("update")).withColumn("_lsn", F.lit(5).cast("bigint"))
+    log = log.withColumn("_present", F.array(F.lit("id"), F.lit("v"))).withColumn("_old", F.lit(None).cast("struct<id:int>"))
+    got = {r.id: r for r in C.chunk_merge(chunk, log, ["id"], 0, 9).collect()}
+    assert got[1]._present == ["id", "v"] and got[1].v == "z" and got[2]._present is None and got[2].w == "y"
+
+
+def test_sql_may_start_with_with(spark):
+    df = spark.createDataFrame([(1, 2)], "id int, v int")
+    assert [tuple(r) for r in X.Sql(query="WITH t AS (SELECT id, v + 1 AS v FROM table) SELECT * FROM t").apply(df).rows.collect()] == [(1, 3)]
+
+
+def test_text_edges(spark):
+    row = spark.range(1).select(unescape_tskv(F.lit("a\u0001\\\\n\\n\\\\")).alias("t")).first()
+    assert row.t == "a\u0001\\n\n\\"
+    with pytest.raises(Exception, match="not a value of int32"):
+        spark.createDataFrame([(1.5,)], "x double").select(strictify(F.col("x"), "int32")).collect()
