@@ -152,7 +152,20 @@ def replace_pk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows(X.ReplacePrimaryKey(keys=["user_id", "event_id"]), with_keys(read(spark, sf_dir, "events"), ["event_id"]))
 
 
-@query()
+#: CRC-32 by its table, a byte at a time; the keys are ASCII.
+CRC_SQL = """
+WITH crc AS (
+  SELECT list_transform(range(256), lambda n: list_reduce([n, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, x: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END)) AS t
+), keys AS (
+  SELECT list_transform(string_split(event_id::VARCHAR || '.' || event_type, ''), lambda ch: ascii(ch)::BIGINT) AS bytes FROM events
+), hashed AS (
+  SELECT xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, bytes), lambda c, b: xor(t[(xor(c, b) & 255) + 1], c >> 8))) AS h FROM keys, crc
+)
+SELECT (h % 16)::VARCHAR AS part, count(*) AS n FROM hashed GROUP BY 1
+"""
+
+
+@query(CRC_SQL)
 def sharder_part_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     sharded = rows(X.Sharder(columns=Selector(include=["^event_id$", "^event_type$"]), shards=16), read(spark, sf_dir, "events"))
     return sharded.groupBy(F.col("_part_id").alias("part")).agg(F.count("*").alias("n"))
