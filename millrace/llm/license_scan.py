@@ -1,12 +1,14 @@
 """License scans: TF-IDF cosine to templates, then inheritance from the nearest directory.
 
-A file's *header* statements are its lines that speak of a licence, wherever they are.
+A file's *header* statements are its lines that speak of a licence, wherever they are, and the
+windows of words about each such word, which run on over the ends of lines and lie inside long ones.
 Each is compared with the templates by the cosine of sparse TF-IDF vectors of
-its words; the best one above ``HEADER_COSINE`` is the file's own licence.  A file is a
+its words, a line with all of them, a window (``WINDOWS``) with those no longer than itself; the best one from
+``HEADER_COSINE`` or the window's least cosine on is the file's own licence.  A file is a
 *licence file* of its directory where it has a telling name, or where its whole text's
 cosine reaches ``FILE_COSINE``.  A file without a licence of its own takes that of
-the nearest directory above it: its path is joined with the directories that have
-licence files, one row an ancestor, and the deepest match wins.
+the nearest directory above it: the distinct directories of such files are joined with those that have
+licence files, one row an ancestor, the deepest match wins, and the files are joined with their directory's.
 
 Inverse document frequencies are those of the templates, a table of fixed size; a
 word in no template weighs as much as the rarest.
@@ -15,6 +17,7 @@ All of it is DataFrame operations.  Defined cases: null or empty texts have no l
 of their own; a null path has no directories; of equal cosines the licence
 first in the alphabet wins, of several licence files in a directory the best
 match; rows repeat as they come; an empty table stays empty; further columns are ignored.
+A very long text is read whole; its windows are as many as the words that speak of a licence ask for.
 """
 
 from __future__ import annotations
@@ -28,7 +31,12 @@ from pyspark.sql import functions as F
 from millrace.llm.common import stash
 
 HEADER_COSINE, FILE_COSINE = 0.45, 0.35
-MARK = r"(?i)licen[cs]e|copyright|spdx|public domain|all rights reserved|copying"
+#: What speaks of a licence, and the words about which windows are laid; each template has one.
+MARK = r"(?i)licen[cs]e|copyright|spdx|public domain|all rights reserved|copying|redistribution|permission|unencumbered"
+MARK_WORD = r"^(?:licen[cs]e.*|copyright.*|spdx|copying|redistribution|permission|unencumbered)$"
+#: Windows as (words, step, least cosine): one of s words and step t holds every statement of s - t + 1 words whole.
+#: Those that a short statement fills must be near to all of it.
+WINDOWS = [(4, 1, 0.8), (5, 1, 0.8), (6, 1, 0.8), (7, 1, 0.8), (14, 2, 0.6), (18, 3, 0.6), (24, 4, 0.6), (44, 6, 0.6), (54, 8, 0.6)]
 FILE_NAME = r"(?i)^(licen[cs]e|copying|copyright|notice|unlicense)([-._].*)?$"
 
 # Statements by which licences are named, some for each.
@@ -88,22 +96,42 @@ def template_table(templates: list[tuple[str, str]] = TEMPLATES) -> tuple[dict[s
 
 
 def best_templates(spark: SparkSession, units: DataFrame, keys: list[str], templates: list[tuple[str, str]] = TEMPLATES) -> DataFrame:
-    """The keys, licence and score of the template with the largest cosine to each unit's ``unit`` text."""
+    """The keys, licence and score of the template with the largest cosine to each unit's ``words``.
+
+    ``size``, one of the keys: only templates of at most so many words are compared; null: all of them.
+    """
     idf, unseen, vectors = template_table(templates)
     table = F.broadcast(spark.createDataFrame([(w, x, [v.get(w, 0.0) for v in vectors]) for w, x in sorted(idf.items())], "word string, idf double, weights array<double>"))
-    words = units.select(*keys, F.explode(words_of(F.col("unit"))).alias("word")).groupBy(*keys, "word").agg(F.count("*").alias("tf"))
+    words = units.select(*keys, F.explode("words").alias("word")).groupBy(*keys, "word").agg(F.count("*").alias("tf"))
     words = words.join(table, "word", "left").withColumn("x", F.col("tf") * F.coalesce("idf", F.lit(unseen)))
     sums = words.groupBy(*keys).agg(F.sum(F.col("x") * F.col("x")).alias("__xx"), *[F.sum(F.col("x") * F.coalesce(F.col("weights")[k], F.lit(0.0))).alias(f"__{k}") for k in range(len(vectors))])
-    scored = [F.struct(F.round(F.col(f"__{k}") / F.sqrt("__xx"), 6).alias("score"), F.lit(name).alias("licence")) for k, (name, _) in enumerate(templates)]
+    compared = [F.coalesce(F.col("size") >= len(template_words(text)), F.lit(True)) for _, text in templates]
+    scored = [F.struct(F.when(fits, F.round(F.col(f"__{k}") / F.sqrt("__xx"), 6)).otherwise(0.0).alias("score"), F.lit(name).alias("licence")) for k, ((name, _), fits) in enumerate(zip(templates, compared, strict=True))]
     better = lambda a, b: F.when((b["score"] > a["score"]) | ((b["score"] == a["score"]) & (b["licence"] < a["licence"])), b).otherwise(a)
     best = F.aggregate(F.array(*scored[1:]), scored[0], better)
     return sums.withColumn("__best", best).select(*keys, F.col("__best.licence").alias("licence"), F.col("__best.score").alias("score"))
 
 
-def ancestors(path: Column) -> Column:
-    """Array of (dir, depth): the directories above a path, '' at depth 0 among them."""
+def windows(words: Column) -> Column:
+    """Array of (size, at, words): the windows that hold a word that speaks of a licence, each once."""
+    marks = F.filter(F.transform(words, lambda w, i: F.when(w.rlike(MARK_WORD), i)), lambda i: i.isNotNull())
+    out = []
+    for size, step, _ in WINDOWS:
+        first = lambda i: F.greatest(F.ceil((i - (size - 1)) / step), F.lit(0)).cast("int") * step  # noqa: B023, E731
+        starts = F.array_distinct(F.flatten(F.transform(marks, lambda i: F.sequence(first(i), F.floor(i / step).cast("int") * step, F.lit(step)))))  # noqa: B023
+        out.append(F.transform(starts, lambda at: F.struct(F.lit(size).alias("size"), at.alias("at"), F.slice(words, at + 1, size).alias("words"))))  # noqa: B023
+    return F.concat(*out)
+
+
+def directory(path: Column) -> Column:
     parts = F.split(path, "/")
-    return F.transform(F.sequence(F.lit(0), F.size(parts) - 1), lambda d: F.struct(F.array_join(F.slice(parts, 1, d), "/").alias("dir"), d.alias("depth")))
+    return F.array_join(F.slice(parts, 1, F.size(parts) - 1), "/")
+
+
+def ancestors(folder: Column) -> Column:
+    """Array of (dir, depth): a directory and those above it, '' at depth 0 among them."""
+    parts = F.filter(F.split(folder, "/"), lambda p: (folder != "") | (p != ""))
+    return F.transform(F.sequence(F.lit(0), F.size(parts)), lambda d: F.struct(F.array_join(F.slice(parts, 1, d), "/").alias("dir"), d.alias("depth")))
 
 
 def scan(files: DataFrame, id_column: str = "doc_id", path_column: str = "path", text_column: str = "text", header_cosine: float = HEADER_COSINE, file_cosine: float = FILE_COSINE) -> DataFrame:
@@ -111,24 +139,27 @@ def scan(files: DataFrame, id_column: str = "doc_id", path_column: str = "path",
     spark = files.sparkSession
     text = F.coalesce(F.col(text_column), F.lit(""))
     speaks = text.rlike(MARK)
-    lines = F.when(speaks, F.filter(F.split(text, r"\r\n|\r|\n"), lambda s: s.rlike(MARK))).otherwise(F.array().cast("array<string>"))
-    rows = files.select(F.monotonically_increasing_id().alias("row"), F.col(id_column).alias("doc_id"), F.col(path_column).alias("path"), lines.alias("lines"), F.when(speaks, text).alias("text"))
+    lines = F.filter(F.split(text, r"\r\n|\r|\n"), lambda s: s.rlike(MARK))
+    rows = files.select(F.monotonically_increasing_id().alias("row"), F.col(id_column).alias("doc_id"), F.col(path_column).alias("path"), F.when(speaks, lines).alias("lines"), F.when(speaks, words_of(text)).alias("words"))
     rows = stash(rows, "licence-lines")
     better = F.struct(F.col("score"), -F.col("order")).alias("rank")
     order = {name: i for i, name in enumerate(sorted({n for n, _ in TEMPLATES}))}
     place = F.coalesce(*[F.when(F.col("licence") == n, F.lit(i)) for n, i in order.items()])
-    headers = rows.select("row", F.posexplode("lines").alias("line", "unit"))
-    own = best_templates(spark, headers, ["row", "line"]).where(F.col("score") >= header_cosine).withColumn("order", place)
+    none = F.lit(None).cast("int")
+    least = F.coalesce(*[F.when(F.col("size") == size, F.lit(cosine)) for size, _, cosine in WINDOWS], F.lit(header_cosine))
+    units = rows.select("row", F.posexplode("lines").alias("at", "line")).select("row", none.alias("size"), "at", words_of(F.col("line")).alias("words"))
+    units = units.unionByName(rows.where("words IS NOT NULL").select("row", F.explode(windows(F.col("words"))).alias("w")).select("row", "w.size", "w.at", "w.words"))
+    own = best_templates(spark, units, ["row", "size", "at"]).where(F.col("score") >= least).withColumn("order", place)
     own = stash(own.groupBy("row").agg(F.max_by(F.struct("licence", "score"), better).alias("b")).select("row", "b.*"), "licence-headers")
     named = F.coalesce(F.element_at(F.split("path", "/"), -1).rlike(FILE_NAME), F.lit(False))
-    whole = best_templates(spark, rows.where("text IS NOT NULL").select("row", F.col("text").alias("unit")), ["row"])
+    whole = best_templates(spark, rows.where("words IS NOT NULL").select("row", none.alias("size"), "words"), ["row", "size"]).drop("size")
     whole = whole.withColumnRenamed("licence", "whole_licence").withColumnRenamed("score", "whole_score")
-    marked = rows.where("text IS NOT NULL AND path IS NOT NULL").select("row", "path", named.alias("named")).join(whole, "row").join(own, "row", "left")
+    marked = rows.where("words IS NOT NULL AND path IS NOT NULL").select("row", "path", named.alias("named")).join(whole, "row").join(own, "row", "left")
     marked = marked.where((F.col("whole_score") >= file_cosine) | (F.col("named") & F.col("licence").isNotNull()))
-    marked = marked.select(F.array_join(F.slice(F.split("path", "/"), 1, F.size(F.split("path", "/")) - 1), "/").alias("dir"), F.coalesce("licence", "whole_licence").alias("licence"), F.coalesce("score", "whole_score").alias("score"))
+    marked = marked.select(directory(F.col("path")).alias("dir"), F.coalesce("licence", "whole_licence").alias("licence"), F.coalesce("score", "whole_score").alias("score"))
     dirs = stash(marked.withColumn("order", place).groupBy("dir").agg(F.max_by(F.struct("licence", "score"), better).alias("b")).select("dir", "b.*"), "licence-dirs")
-    known = rows.select("row", "doc_id", "path").join(own, "row", "left")
-    orphans = known.where("licence IS NULL AND path IS NOT NULL").select("row", F.explode(ancestors(F.col("path"))).alias("a")).select("row", "a.dir", "a.depth")
-    found = orphans.join(dirs, "dir").groupBy("row").agg(F.max_by(F.struct("licence", "score", "dir"), "depth").alias("i"))
-    out = known.join(found, "row", "left")
+    known = rows.select("row", "doc_id", "path").join(own, "row", "left").withColumn("folder", F.when(F.col("licence").isNull(), directory(F.col("path"))))
+    folders = known.where("folder IS NOT NULL").select("folder").distinct().select("folder", F.explode(ancestors(F.col("folder"))).alias("a")).select("folder", "a.dir", "a.depth")
+    found = folders.join(dirs, "dir").groupBy("folder").agg(F.max_by(F.struct("licence", "score", "dir"), "depth").alias("i"))
+    out = known.join(found, "folder", "left")
     return out.select("doc_id", "path", F.coalesce("licence", "i.licence").alias("licence"), F.coalesce("score", "i.score").alias("score"), F.when(F.col("licence").isNotNull(), "own").when(F.col("i").isNotNull(), "inherited").alias("how"), F.when(F.col("licence").isNull(), F.col("i.dir")).alias("licence_dir"))

@@ -382,26 +382,60 @@ def test_license_scan(spark):
     assert license_scan.scan(df).count() == len(rows) and license_scan.scan(df.limit(0)).count() == 0
 
 
-def test_license_cosine(spark, docs):
-    """Own licences by a plain computation of the cosines."""
+def licence_units(text):
+    """(least cosine, words, templates compared) of a text's marked lines and windows."""
+    words = license_scan.template_words(text)
+    for line in re.split(r"\r\n|\r|\n", text):
+        if re.search(license_scan.MARK, line):
+            yield license_scan.HEADER_COSINE, license_scan.template_words(line), None
+    for size, step, least in license_scan.WINDOWS:
+        for at in range(0, len(words), step):
+            if any(re.search(license_scan.MARK_WORD, w) for w in words[at : at + size]):
+                yield least, words[at : at + size], size
+
+
+def own_licence(text):
     idf, unseen, vectors = license_scan.template_table()
-
-    def best(line):
-        v = {w: n * idf.get(w, unseen) for w, n in collections.Counter(license_scan.template_words(line)).items()}
-        norm = math.sqrt(sum(x * x for x in v.values()))
-        scores = [(round(sum(x * t.get(w, 0) for w, x in v.items()) / norm, 6) if norm else 0, name) for t, (name, _) in zip(vectors, license_scan.TEMPLATES, strict=True)]
-        return max(scores, key=lambda s: s[0])
-
-    want = {}
-    for i, t in texts(docs):
-        lines = [best(s) for s in re.split(r"\r\n|\r|\n", t or "") if re.search(license_scan.MARK, s)]
-        lines = [s for s in lines if s[0] >= license_scan.HEADER_COSINE]
-        if lines:
-            want[i] = max(lines, key=lambda s: s[0])[1]
-    got = {r.doc_id: r.licence for r in QUERIES["op1_license_scan"](spark, SF).where("how = 'own'").collect()}
+    found = []
+    for least, words, size in licence_units(text or "") if re.search(license_scan.MARK, text or "") else ():
+        v = {w: n * idf.get(w, unseen) for w, n in collections.Counter(words).items()}
+        norm = math.sqrt(sum(x * x for x in v.values())) or 1
+        for t, (name, statement) in zip(vectors, license_scan.TEMPLATES, strict=True):
+            score = round(sum(x * t.get(w, 0) for w, x in v.items()) / norm, 6)
+            if score >= least and (size is None or len(license_scan.template_words(statement)) <= size):
+                found.append((-score, name))
+    return min(found)[1] if found else None
+
+
+def test_license_cosine(docs):
+    """Own licences by a plain computation of the cosines."""
+    want = {i: own for i, t in texts(docs) if (own := own_licence(t))}
+    got = {r.doc_id: r.licence for r in QUERIES["op1_license_scan"](docs.sparkSession, SF).where("how = 'own'").collect()}
     assert got == want and want
 
 
+def test_license_windows(spark):
+    """Every template is found in one long line, at each place of the windows' steps, and wrapped over lines."""
+    filler = "these unrelated lines of prose tell of quite other things than rights and say so at some length"
+    rows = []
+    for k, (name, statement) in enumerate(license_scan.TEMPLATES):
+        words = filler.split()
+        rows += [(f"{name} {k} {i}", " ".join(words[:i] + statement.split() + words), name) for i in range(0, 17)]
+        rows.append((f"{name} {k} wrapped", "\n".join(["# head", *(" * " + " ".join(statement.split()[i : i + 4]) for i in range(0, len(statement.split()), 4)), filler]), name))
+    df = spark.createDataFrame(rows, "doc_id string, text string, name string").withColumn("path", F.lit(None).cast("string"))
+    got = {r.doc_id: r.licence for r in license_scan.scan(df).collect()}
+    assert got == {i: name for i, _, name in rows} == {i: own_licence(t) for i, t, _ in rows}
+    clean = spark.createDataFrame([("a", "a driving licence and the permission of the owner " * 9, None), ("b", "no copyright is claimed by anyone here, as far as it is known to us", None), ("c", "it was then released under the license of the owner of that house and of its garden", None)], "doc_id string, text string, path string")
+    assert [r.licence for r in license_scan.scan(clean).collect()] == [None] * 3
+
+
+def test_license_one_directory(spark):
+    """Two thirds of the files in one directory, each with its own row."""
+    df = spark.range(3000).selectExpr("id AS doc_id", "CASE WHEN id = 7 THEN 'a/LICENSE' WHEN id % 3 > 0 THEN concat('a/b/', id) ELSE concat('c/', id, '/x') END AS path", "CASE WHEN id = 7 THEN 'Released under the MIT License.' END AS text")
+    got = license_scan.scan(df).groupBy("how", "licence_dir").count().collect()
+    assert {(r.how, r.licence_dir): r["count"] for r in got} == {("own", None): 1, ("inherited", "a"): 1999, (None, None): 1000}
+
+
 # --- 6 PII
 
 
