@@ -5,18 +5,21 @@ same format: a payment card number with a valid check digit by one with a valid
 check digit, an IPv4 address by an IPv4 address, a telephone number by one of the
 same shape, a calendar date by a calendar date in the same notation, a social
 security number likewise.  E-mail addresses keep their shape: letters stay letters of their
-case, digits stay digits.
+case, digits stay digits.  Of a date with slashes the day is read first where that gives a date, else the month;
+a date read month first is permuted among those that can only be read so.  Telephone numbers with and without
+the country's code 1 have linked pseudonyms.  Octets with leading zeros are no IPv4 address.  IBANs
+and national forms other than those below are left as they are.
 
 A value of ``a * b`` possible ones is a pair (x in Z_a, y in Z_b); each round adds
 a keyed hash of one half to the other.  Every round can be undone, so the
 permutation is one to one, and it depends on key, kind and value alone: equal
 values get equal pseudonyms in all documents and stay linked without any shared
-state.  :func:`restore` undoes it for who has the key.
+state.  :func:`restore` undoes it for who has the key.  The key is a literal of the plan: who may see plans may undo it.
 
 All of it is SQL functions: one pass, no shuffle.  Defined cases: a null text stays
 null and has no matches; text without matches is returned as it is; what fails its
 validation stays; an empty table stays empty; further columns are carried through by
-:func:`pseudonymise`.
+:func:`pseudonymise`; repeated rows and ties get the same text each; very long texts are read whole.
 """
 
 from __future__ import annotations
@@ -31,8 +34,8 @@ from millrace.llm.spans import replace_matches
 ROUNDS = 8
 
 # What each kind looks like.  A match of one is never part of a longer run of digits.
-CARD = r"(?<![0-9])[0-9]{4}(?:[ -]?[0-9]{4}){3}(?![0-9])"
-PHONE = r"\+1 \([0-9]{3}\) [0-9]{3}-[0-9]{4}(?![0-9])|\+1-[0-9]{3}-[0-9]{3}-[0-9]{4}(?![0-9])|\+[1-9][0-9]{9,13}(?![0-9])"
+CARD = r"(?<![0-9])[0-9]{4}(?:[ -]?[0-9]{4}){3}(?![0-9])|(?<![0-9])3[47][0-9]{2}[ -]?[0-9]{6}[ -]?[0-9]{5}(?![0-9])|(?<![0-9])[3-6][0-9]{12,18}(?![0-9])"
+PHONE = r"(?<![0-9+])\([0-9]{3}\) ?[0-9]{3}-[0-9]{4}(?![0-9])|(?<![0-9+-])[0-9]{3}-[0-9]{3}-[0-9]{4}(?![0-9-])|\+1 \([0-9]{3}\) [0-9]{3}-[0-9]{4}(?![0-9])|\+1-[0-9]{3}-[0-9]{3}-[0-9]{4}(?![0-9])|\+[1-9][0-9]{9,13}(?![0-9])"
 SSN = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
 IPV4 = r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9]|\.[0-9])"
 DATE = r"(?<![0-9-])[0-9]{4}-[0-9]{2}-[0-9]{2}(?![0-9-])|(?<![0-9./])[0-9]{2}[./][0-9]{2}[./][0-9]{4}(?![0-9]|[./][0-9])"
@@ -41,6 +44,8 @@ ANY = "|".join(f"(?:{p})" for p in (EMAIL, CARD, PHONE, SSN, IPV4, DATE))
 KINDS = ["email", "card", "phone", "ssn", "ipv4", "date"]
 #: Dates from FIRST_DAY on, 270 * 271 days, are permuted among themselves.
 FIRST_DAY, DAYS = datetime.date(1900, 1, 1), (270, 271)
+#: So many dates from FIRST_DAY on whose day is after the twelfth are permuted among themselves.
+LATE_DAYS = (210, 210)
 
 
 def _hash(key: str, tag: Column, i: Column, half: Column, modulus: int) -> Column:
@@ -51,7 +56,8 @@ def _hash(key: str, tag: Column, i: Column, half: Column, modulus: int) -> Colum
 
 def permute(value: Column, a: int, b: int, key: str, tag: Column, inverse: bool = False) -> Column:
     """A keyed permutation of Z_(a*b), or its inverse."""
-    start = F.struct((value.cast("long") / b).cast("long").alias("x"), (value.cast("long") % b).cast("long").alias("y"))
+    low = value.cast("long") % b
+    start = F.struct(F.round((value.cast("long") - low) / b).cast("long").alias("x"), low.cast("long").alias("y"))
 
     def step(s: Column, i: Column) -> Column:
         if inverse:
@@ -99,18 +105,24 @@ def _number(digits: Column, n: int, key: str, kind: str, inverse: bool) -> Colum
 
 
 def _card(m: Column, key: str, inverse: bool) -> Column:
-    payload = _number(F.substring(digits_of(m), 1, 15), 15, key, "card", inverse)
+    """All digits of sixteen but the last are permuted; of other numbers the first two stay, as they say what it is."""
+    d = digits_of(m)
+    payload = _number(F.substring(d, 1, 15), 15, key, "card", inverse)
+    for n in (13, 14, 15, 17, 18, 19):
+        other = F.concat(F.substring(d, 1, 2), _number(F.substring(d, 3, n - 3), n - 3, key, "card", inverse))
+        payload = F.when(F.length(d) == n, other).otherwise(payload)
     check = F.pmod(10 - luhn_sum(payload, 0) % 10, F.lit(10)).cast("string")
     return pour(m, F.concat(payload, check))
 
 
 def _phone(m: Column, key: str, inverse: bool) -> Column:
     d = digits_of(m)
-    rest = F.substring(d, 2, 20)  # the first digit of the country's code stays
+    code = F.when(m.startswith("+"), F.substring(d, 1, 1)).otherwise("")  # the first digit of the country's code stays
+    rest = F.when(m.startswith("+"), F.substring(d, 2, 20)).otherwise(d)
     out = F.lit(None).cast("string")
     for n in range(9, 14):
         out = F.when(F.length(rest) == n, _number(rest, n, key, "phone", inverse)).otherwise(out)
-    return pour(m, F.concat(F.substring(d, 1, 1), out))
+    return pour(m, F.concat(code, out))
 
 
 def _ipv4(m: Column, key: str, inverse: bool) -> Column:
@@ -135,6 +147,23 @@ def _new_date(m: Column, key: str, inverse: bool) -> Column:
     return F.when(m.contains("-"), F.date_format(day, "yyyy-MM-dd")).otherwise(pour(m, F.date_format(day, "ddMMyyyy")))
 
 
+def _late_day(m: Column) -> Column:
+    """The number of a date, month first, among the dates whose day is after the twelfth; null for others."""
+    d = digits_of(m)
+    date = F.try_to_timestamp(F.concat(F.substring(d, 5, 4), F.substring(d, 1, 4)), F.lit("yyyyMMdd")).cast("date")
+    months = (F.year(date) - FIRST_DAY.year) * 12 + F.month(date) - 1
+    return F.when(m.contains("/") & (F.dayofmonth(date) > 12), F.datediff(date, F.lit(FIRST_DAY)) - 12 * months - 12)
+
+
+def _new_late_date(m: Column, key: str, inverse: bool) -> Column:
+    new = permute(_late_day(m), *LATE_DAYS, key, F.lit("late date"), inverse)
+    first = lambda i: F.add_months(F.lit(FIRST_DAY), i)
+    before = lambda i: F.datediff(first(i), F.lit(FIRST_DAY)) - 12 * i
+    about = F.floor(new / (365.2425 / 12 - 12)).cast("int")  # the month, or one beside it
+    months = F.when(before(about + 1) <= new, about + 1).when(before(about) <= new, about).otherwise(about - 1)
+    return pour(m, F.date_format(F.date_add(first(months), (new - before(months) + 12).cast("int")), "MMddyyyy"))
+
+
 def _shift(text: Column, other: Column, key: str, i: Column, back: bool) -> Column:
     """Every letter or digit moved within its class by a keyed hash of the other half, of its place and of the round."""
     classes = ("abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789")
@@ -172,15 +201,16 @@ def _email(m: Column, key: str, inverse: bool) -> Column:
 
 def kind_of(m: Column) -> Column:
     """The kind of a match that passes its validation, else null."""
-    octets = F.size(F.filter(F.split(m, r"\."), lambda p: p.cast("int") <= 255))
+    octets = F.size(F.filter(F.split(m, r"\."), lambda p: p.rlike("^(?:0|[1-9][0-9]*)$") & (p.cast("int") <= 255)))
     day = _day(m)
     return (
         F.when(m.contains("@"), F.lit("email"))
         .when(m.rlike(rf"^(?:{CARD})$"), F.when(luhn_sum(digits_of(m), 1) % 10 == 0, F.lit("card")))
-        .when(m.startswith("+"), F.lit("phone"))
+        .when(m.rlike(rf"^(?:{PHONE})$"), F.lit("phone"))
         .when(m.rlike(rf"^(?:{SSN})$"), F.when(~m.rlike("^(?:000|666|9)") & ~m.contains("-00-") & ~m.endswith("-0000"), F.lit("ssn")))
         .when(m.rlike(r"^[0-9]{1,3}(\.[0-9]{1,3}){3}$"), F.when(octets == 4, F.lit("ipv4")))
         .when(day.between(0, DAYS[0] * DAYS[1] - 1), F.lit("date"))
+        .when(_late_day(m).between(0, LATE_DAYS[0] * LATE_DAYS[1] - 1), F.lit("late date"))
     )
 
 
@@ -193,6 +223,7 @@ def _new_value(m: Column, key: str, inverse: bool) -> Column:
         .when(kind == "ssn", pour(m, _number(digits_of(m), 9, key, "ssn", inverse)))
         .when(kind == "ipv4", _ipv4(m, key, inverse))
         .when(kind == "date", _new_date(m, key, inverse))
+        .when(kind == "late date", _new_late_date(m, key, inverse))
         .otherwise(m)
     )
 

@@ -462,6 +462,26 @@ def test_pii(spark):
     assert pii.pseudonymise(df.limit(0), "key").count() == 0 and {r.text for r in pii.pseudonymise(df, "other").where("doc_id = 2").collect()} != {got[2]}
 
 
+def test_pii_forms(spark):
+    """Forms that are replaced and come back, in their own format, one to one; and those that stay."""
+    text = [
+        "12/31/1999", "02/29/2000", "555-123-4567", "(555) 123-4567", "+1 (555) 123-4567", "378282246310005", "3782 822463 10005", "30569309025904", "4222222222222", "6304000000000000000", "10.1.2.3",
+        *[f"{m:02}/{d}/{y}" for y in (1900, 1987, 2000, 2023, 2098) for m in range(1, 13) for d in (13, 14, 28)],
+    ]
+    stay = ["010.001.002.003", "13/13/1999", "02/30/2000", "378282246310006", "1-555-123-4567-8"]
+    df = spark.createDataFrame(list(enumerate(text + stay)), "doc_id long, text string")
+    out = pii.pseudonymise(df, "key")
+    got = [r.text for r in out.orderBy("doc_id").collect()]
+    assert [r.text for r in pii.restore(out, "key").orderBy("doc_id").collect()] == text + stay and got[len(text) :] == stay
+    assert len(set(got)) == len(got) and sum(a == b for a, b in zip(text, got, strict=False)) == 0
+    assert [re.sub("[0-9]", "0", s) for s in got] == [re.sub("[0-9]", "0", s) for s in text + stay]
+    assert all(datetime.datetime.strptime(s, "%m/%d/%Y").day > 12 for s in got if s[2] == "/" and s not in stay)
+    assert got[4][1:4] == got[5][4:7] and got[4][6:] == got[5][9:] and got[6] == got[7].replace(" ", "")
+    late = spark.range(44_100).select(F.format_string("%s", F.date_format(F.date_add(F.lit(datetime.date(1900, 1, 1)), F.col("id").cast("int")), "MM/dd/yyyy")).alias("s")).where("substr(s, 4, 2) > 12")
+    new = late.select("s", pii._new_late_date(F.col("s"), "key", False).alias("t"))
+    assert new.select("t").distinct().count() == late.count() and new.where(pii._new_late_date(F.col("t"), "key", True) != F.col("s")).count() == 0
+
+
 def test_feistel_is_a_permutation(spark):
     got = [r[0] for r in spark.range(42).select(pii.permute(F.col("id"), 6, 7, "k", F.lit("t"))).collect()]
     assert sorted(got) == list(range(42)) and got != list(range(42))
