@@ -3,8 +3,8 @@
 *Base* spans are matches of three fixed forms (an assignment to a telling name, an access
 key, a long hexadecimal run).  *Random* spans are other unbroken strings of at least
 ``MIN_LENGTH`` characters of a text encoding whose characters look drawn at random.
-Each candidate's encoding (decimal, hexadecimal, base 32, letters and digits,
-base 64) is inferred from the characters it has, and tested against a uniform
+Each candidate's encoding (decimal, hexadecimal, base 32, digits with letters of one or of both
+cases, base 64) is inferred from the characters it has, and tested against a uniform
 draw from that alphabet: a chi-squared test of the counts, a runs test about
 the alphabet's middle and a test of the serial correlation at lag 1.  Fisher's method
 joins the three p-values.
@@ -13,7 +13,7 @@ A candidate is dismissed as text where the battery rejects randomness; the
 rejections' false-discovery rate is held at ``RATE`` by Benjamini and Hochberg's
 procedure over all candidates of the corpus, apart for each class of lengths, as
 a short string's test has less power.  What is too short for its alphabet
-to carry ``MIN_BITS`` bits, or lacks either letters or digits, is no candidate.
+to carry ``MIN_BITS`` bits, or has no digit, is no candidate: a run of letters alone is a word or a name.
 The procedure works on a histogram of the p-values, ``BINS`` a class, so its state has a
 fixed size; texts are read once and never shuffled.
 
@@ -46,6 +46,8 @@ ALPHABETS = [
     (r"^[0-9a-f]+$", "0123456789abcdef"),
     (r"^[0-9A-F]+$", "0123456789ABCDEF"),
     (r"^[A-Z2-7]+$", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"),
+    (r"^[a-z0-9]+$", "abcdefghijklmnopqrstuvwxyz0123456789"),
+    (r"^[A-Z0-9]+$", "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"),
     (r"^[A-Za-z0-9]+$", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"),
     (r"^[A-Za-z0-9+/]+$", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"),
     (r"", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_+/"),
@@ -119,7 +121,7 @@ def length_class(value: Column) -> Column:
 def candidates(rows: DataFrame) -> DataFrame:
     """One row a candidate of rows (__row, base, found): __row, start, end, value, p, bits, class, and whether it is clear of base spans."""
     found = rows.select("__row", "base", F.explode("found").alias("m")).select("__row", "base", "m.start", "m.end", "m.value")
-    found = found.where(F.col("value").rlike("[0-9]") & F.col("value").rlike("[A-Za-z]"))
+    found = found.where(F.col("value").rlike("[0-9]"))
     clear = ~F.exists("base", lambda b: (b["start"] < F.col("end")) & (b["end"] > F.col("start")))
     found = battery(found.withColumn("clear", clear).drop("base")).where(F.col("bits") >= MIN_BITS)
     return found.withColumn("class", length_class(F.col("value")))
