@@ -156,12 +156,16 @@ def _late_day(m: Column) -> Column:
 
 
 def _new_late_date(m: Column, key: str, inverse: bool) -> Column:
-    new = permute(_late_day(m), *LATE_DAYS, key, F.lit("late date"), inverse)
     first = lambda i: F.add_months(F.lit(FIRST_DAY), i)
     before = lambda i: F.datediff(first(i), F.lit(FIRST_DAY)) - 12 * i
-    about = F.floor(new / (365.2425 / 12 - 12)).cast("int")  # the month, or one beside it
-    months = F.when(before(about + 1) <= new, about + 1).when(before(about) <= new, about).otherwise(about - 1)
-    return pour(m, F.date_format(F.date_add(first(months), (new - before(months) + 12).cast("int")), "MMddyyyy"))
+
+    def date_of(n: Column, about: Column) -> Column:  # about: the month, or one beside it
+        month = F.when(before(about + 1) <= n, about + 1).when(before(about) <= n, about).otherwise(about - 1)
+        return F.transform(F.array(month), lambda i: F.date_add(first(i), (n - before(i) + 12).cast("int")))[0]
+
+    new = F.array(permute(_late_day(m), *LATE_DAYS, key, F.lit("late date"), inverse))
+    date = F.transform(new, lambda n: date_of(n, F.floor(n / (365.2425 / 12 - 12)).cast("int")))[0]
+    return pour(m, F.date_format(date, "MMddyyyy"))
 
 
 def _shift(text: Column, other: Column, key: str, i: Column, back: bool) -> Column:
