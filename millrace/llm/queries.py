@@ -65,6 +65,26 @@ def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.ngram_components(read(spark, sf_dir, "documents"))
 
 
+#: Words, sets of 5-word shingles, linked pairs, and the least document that each one reaches.
+OP7_SQL = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), sets AS MATERIALIZED (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+         ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS s FROM words
+), entries AS (
+  SELECT doc_id, len(s) AS n, unnest(s) AS shingle FROM sets
+), links AS MATERIALIZED (
+  SELECT a.doc_id AS u, b.doc_id AS v FROM entries a JOIN entries b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id
+  GROUP BY a.doc_id, b.doc_id HAVING 100 * count(*) >= 80 * (any_value(a.n) + any_value(b.n) - count(*))
+), reached AS (
+  SELECT doc_id, doc_id AS other FROM sets UNION SELECT r.doc_id, l.v FROM reached r JOIN links l ON r.other = l.u
+)
+SELECT doc_id, len(s) AS n_shingles, least_id AS component_id
+FROM sets JOIN (SELECT doc_id, min(other) AS least_id FROM reached GROUP BY doc_id) USING (doc_id)
+"""
+
+
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secret_scan.scan(read(spark, sf_dir, "documents"))
     counts = [secret_scan.count_of(F.col("base"), kind).alias(f"n_{kind}") for kind in ("assign", "access", "hex")]
@@ -124,4 +144,4 @@ QUERIES = {
     "op9_mixing": op9_mixing,
     "op10_url_filter": op10_url_filter,
 }
-ORACLE_SQL = {"op3_exact_dedup": OP3_SQL, "op9_mixing": OP9_SQL}
+ORACLE_SQL = {"op3_exact_dedup": OP3_SQL, "op7_ngram_join": OP7_SQL, "op9_mixing": OP9_SQL}
