@@ -367,6 +367,31 @@ def debezium_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("event_id", "event_type", "value", F.col("_kind").alias("kind"))
 
 
+#: Envelopes of orders as text: the schema block, then the values in Connect's forms.
+_ORDER_FIELDS = ('{"type":"int64","optional":false,"field":"o_orderkey"},{"type":"string","optional":true,"field":"o_orderstatus"},'
+                 '{"type":"bytes","name":"org.apache.kafka.connect.data.Decimal","version":1,"parameters":{"scale":"2","connect.decimal.precision":"15"},"optional":true,"field":"price"},'
+                 '{"type":"int32","name":"io.debezium.time.Date","version":1,"optional":true,"field":"day"}')
+_ORDER_SCHEMA = ('{"type":"struct","fields":[' + "".join(f'{{"type":"struct","fields":[{_ORDER_FIELDS}],"optional":true,"name":"o.Value","field":"{side}"}},' for side in ("before", "after"))
+                 + '{"type":"struct","fields":[' + ",".join(f'{{"type":"{t}","optional":true,"field":"{n}"}}' for n, t in (("lsn", "int64"), ("txId", "int64"), ("schema", "string"), ("table", "string")))
+                 + '],"optional":false,"name":"o.Source","field":"source"},{"type":"string","optional":false,"field":"op"},{"type":"int64","optional":true,"field":"ts_ms"}],"optional":false,"name":"o.Envelope"}')
+
+
+@query(rf"""
+WITH cents AS (SELECT o_orderkey, o_orderstatus, o_orderdate::DATE AS day, (CASE WHEN o_orderkey % 3 = 0 THEN -1 ELSE 1 END * round(o_totalprice * 100))::BIGINT AS n FROM orders),
+digits AS (SELECT *, CASE WHEN n < 0 THEN regexp_replace(hex(n), '^(FF)+([89A-F])', '\2') ELSE regexp_replace(lpad(hex(n), 16, '0'), '^(00)+([0-7])', '\2') END AS h FROM cents)
+SELECT '{{"schema":{{"type":"struct","fields":[{{"type":"int64","optional":false,"field":"o_orderkey"}}],"optional":false,"name":"o.Key"}},"payload":{{"o_orderkey":' || o_orderkey || '}}}}' AS key,
+       '{{"schema":{_ORDER_SCHEMA},"payload":{{"before":null,"after":{{"o_orderkey":' || o_orderkey || ',"o_orderstatus":"' || o_orderstatus || '","price":"' || base64(unhex(h))
+       || '","day":' || date_diff('day', DATE '1970-01-01', day) || '}},"source":{{"lsn":0,"txId":0,"schema":"public","table":"orders"}},"op":"r","ts_ms":0}}}}' AS value
+FROM digits
+""")
+def debezium_envelopes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole keys and envelopes with their schema blocks."""
+    price = F.round(F.col("o_totalprice") * 100).cast("decimal(15,0)") * F.when(F.col("o_orderkey") % 3 == 0, -1).otherwise(1)
+    o = read(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", (price / 100).cast("decimal(15,2)").alias("price"), F.col("o_orderdate").cast("date").alias("day"))
+    sent = serialize.debezium(C.as_changelog(o, "public", "orders"), ["o_orderkey"], snapshot=True, forms=serialize.ConnectForms(), name="o")
+    return sent.select("key", "value")
+
+
 @query("SELECT event_id, event_type, value FROM events")
 def native_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     log = C.as_changelog(read(spark, sf_dir, "events").select("event_id", "event_type", "value"), "public", "events")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -137,20 +140,107 @@ def native(df: DataFrame) -> DataFrame:
     return df.select(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).cast("binary").alias("value"))
 
 
-def debezium(df: DataFrame, keys: list[str] | None = None, snapshot: bool = False, tombstones: bool = True) -> DataFrame:
-    """Rows (key, value, seq) of envelopes; a delete and a change of key leave a tombstone, and the latter then a create."""
+@dataclass(frozen=True)
+class ConnectForms:
+    """How an envelope with a schema block shows types that JSON has not.
+
+    decimals: 'precise' (bytes of the unscaled number), 'double' or 'string'; times: 'adaptive'
+    (microseconds) or 'connect' (milliseconds); binary: 'bytes' (base64) or 'hex'.
+    """
+
+    decimals: str = "precise"
+    times: str = "adaptive"
+    binary: str = "bytes"
+
+    def __post_init__(self) -> None:
+        for name, known in (("decimals", ("precise", "double", "string")), ("times", ("adaptive", "connect")), ("binary", ("bytes", "hex"))):
+            if getattr(self, name) not in known:
+                raise ValueError(f"{name} is one of {', '.join(known)}")
+
+    def of(self, kind: T.DataType, c: Column) -> tuple[dict, Column]:
+        """The schema of a type, and a value of it."""
+        if isinstance(kind, T.DecimalType):
+            if self.decimals != "precise":
+                return {"type": self.decimals}, c.cast(self.decimals)
+            return {"type": "bytes", "name": "org.apache.kafka.connect.data.Decimal", "version": 1, "parameters": {"scale": str(kind.scale), "connect.decimal.precision": str(kind.precision)}}, decimal_bytes(c)
+        if isinstance(kind, T.DateType):
+            return {"type": "int32", "name": "io.debezium.time.Date" if self.times == "adaptive" else "org.apache.kafka.connect.data.Date", "version": 1}, F.unix_date(c)
+        if isinstance(kind, T.TimestampNTZType):
+            micros = F.unix_date(c.cast("date")).cast("bigint") * 86_400_000_000 + (F.hour(c) * 3600 + F.minute(c) * 60).cast("bigint") * 1_000_000 + (F.extract(F.lit("SECOND"), c) * 1_000_000).cast("bigint")
+            if self.times == "adaptive":
+                return {"type": "int64", "name": "io.debezium.time.MicroTimestamp", "version": 1}, micros
+            return {"type": "int64", "name": "org.apache.kafka.connect.data.Timestamp", "version": 1}, F.floor(micros / 1000)
+        if isinstance(kind, T.TimestampType):
+            return {"type": "string", "name": "io.debezium.time.ZonedTimestamp", "version": 1}, rfc3339(c)
+        if isinstance(kind, T.DayTimeIntervalType):
+            return {"type": "int64", "name": "io.debezium.time.MicroDuration", "version": 1}, F.unix_micros(F.timestamp_seconds(F.lit(0)) + c)
+        if isinstance(kind, T.BinaryType):
+            return ({"type": "bytes"}, F.base64(c)) if self.binary == "bytes" else ({"type": "string"}, F.lower(F.hex(c)))
+        if isinstance(kind, (T.StructType, T.ArrayType, T.MapType)):
+            return {"type": "string", "name": "io.debezium.data.Json", "version": 1}, F.to_json(c)
+        plain = {"tinyint": "int16", "smallint": "int16", "int": "int32", "bigint": "int64", "float": "float", "double": "double", "boolean": "boolean"}
+        return {"type": plain.get(kind.simpleString(), "string")}, c if kind.simpleString() in plain else c.cast("string")
+
+
+#: How far the upper half of a 128-bit number is shifted, as text.
+WORD = str(2**64)
+
+
+def decimal_bytes(c: Column) -> Column:
+    """Base64 of the unscaled number, big-endian in two's complement, in as few bytes as hold it."""
+    u, word = F.replace(c.cast("string"), F.lit("."), F.lit("")).cast("decimal(38,0)"), F.lit(WORD).cast("decimal(20,0)")
+    low = F.pmod(u, word)
+    high = F.call_function("div", u, word) - F.when((u < 0) & (low != 0), 1).otherwise(0)
+    digits = F.concat(F.lpad(F.hex(high), 16, "0"), F.lpad(F.conv(low.cast("string"), 10, 16), 16, "0"))
+    return F.base64(F.unhex(F.regexp_replace(digits, "^(?:(?:00)+(?=[0-7])|(?:FF)+(?=[89A-F]))", "")))
+
+
+def decimal_of_bytes(text: Column, kind: T.DecimalType) -> Column:
+    """The decimal whose :func:`decimal_bytes` are given."""
+    digits = F.hex(F.unbase64(text))
+    negative = digits.rlike("^[89A-F]")
+    # -n has the flipped digits of n - 1
+    digits = F.lpad(F.when(negative, F.translate(digits, "0123456789ABCDEF", "FEDCBA9876543210")).otherwise(digits), 32, "0")
+    high, low = (F.conv(F.substring(digits, at, 16), 16, 10).cast("decimal(20,0)") for at in (1, 17))
+    shown = (high * F.lit(WORD).cast("decimal(20,0)") + low + F.when(negative, 1).otherwise(0)).cast("decimal(38,0)").cast("string")
+    number = F.lpad(shown, F.greatest(F.length(shown), F.lit(kind.scale + 1)), "0")
+    point = F.length(number) - kind.scale
+    return F.concat(F.when(negative, "-").otherwise(""), F.substring(number, F.lit(1), point), F.lit("."), F.substring(number, point + 1, F.lit(kind.scale + 1))).cast(kind)
+
+
+def _connect_struct(fields: list[dict], name: str, optional: bool = False) -> dict:
+    return {"type": "struct", "fields": fields, "optional": optional, "name": name}
+
+
+def debezium(df: DataFrame, keys: list[str] | None = None, snapshot: bool = False, tombstones: bool = True, forms: ConnectForms | None = None, name: str = "") -> DataFrame:
+    """Rows (key, value, seq) of envelopes; a delete and a change of key leave a tombstone, and the latter then a create.
+
+    With ``forms`` each key and value is an object of ``schema`` and ``payload``, of types so named; ``name``: the prefix of its structs.
+    """
     keys = keys or keys_of(df.schema)
     columns = data_columns(df)
-    now = F.struct(*[F.col(c).alias(c) for c in columns])
-    was = F.struct(*[old_value(df, c).alias(c) for c in columns])
-    key_now = F.to_json(F.struct(*[F.col(k).alias(k) for k in keys]))
-    key_was = F.to_json(F.struct(*[old_value(df, k).alias(k) for k in keys]))
+    kinds = {c: df.schema[c].dataType for c in columns}
+    form = lambda n, c: (forms.of(kinds[n], c)[1] if forms else c).alias(n)
+    now = F.struct(*[form(c, F.col(f"`{c}`")) for c in columns])
+    was = F.struct(*[form(c, old_value(df, c)) for c in columns])
+    key_now = F.to_json(F.struct(*[form(k, F.col(f"`{k}`")) for k in keys]), {"ignoreNullFields": "false"})
+    key_was = F.to_json(F.struct(*[form(k, old_value(df, k)) for k in keys]), {"ignoreNullFields": "false"})
     source = F.struct(F.col("_lsn").alias("lsn"), F.col("_tx_id").alias("txId"), F.col("_schema").alias("schema"), F.col("_table").alias("table"))
-    empty = F.lit(None).cast(df.select(*columns).schema)
+    empty = F.lit(None).cast(df.select(now.alias("x")).schema["x"].dataType)
+    wrap = lambda c, schema: c
+    key_schema = value_schema = None
+    if forms:
+        field = lambda n, optional: {**forms.of(kinds[n], F.lit(None))[0], "optional": optional, "field": n}
+        wrap = lambda c, schema: F.concat(F.lit('{"schema":' + json.dumps(schema, separators=(",", ":")) + ',"payload":'), c, F.lit("}"))
+        row = _connect_struct([field(c, c not in keys) for c in columns], f"{name}.Value", True)
+        place = [{"type": t, "optional": True, "field": n} for n, t in (("lsn", "int64"), ("txId", "int64"), ("schema", "string"), ("table", "string"))]
+        value_schema = _connect_struct([{**row, "field": "before"}, {**row, "field": "after"}, {**_connect_struct(place, f"{name}.Source"), "field": "source"}, {"type": "string", "optional": False, "field": "op"}, {"type": "int64", "optional": True, "field": "ts_ms"}], f"{name}.Envelope")
+        key_schema = _connect_struct([field(k, False) for k in keys], f"{name}.Key")
+    key_now, key_was = wrap(key_now, key_schema), wrap(key_was, key_schema)
 
     def message(key: Column, before: Column, after: Column, op: str, seq: int) -> Column:
         body = F.to_json(F.struct(before.alias("before"), after.alias("after"), source.alias("source"), F.lit(op).alias("op"), (F.col("_commit_ts_ns") / 1_000_000).cast("bigint").alias("ts_ms")), {"ignoreNullFields": "false"})
-        return F.struct(key.alias("key"), body.alias("value"), F.lit(seq).alias("seq"))
+        return F.struct(key.alias("key"), wrap(body, value_schema).alias("value"), F.lit(seq).alias("seq"))
 
     grave = lambda seq: [F.struct(key_was.alias("key"), F.lit(None).cast("string").alias("value"), F.lit(seq).alias("seq"))] if tombstones else []
     create = "r" if snapshot else "c"

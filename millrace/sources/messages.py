@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 
 from millrace.functions.text import table_name, unescape_tskv
 from millrace.schema import RANGES, SPARK_TYPES, try_strictify
+from millrace.sinks.serialize import ConnectForms, decimal_of_bytes
 
 UNPARSED = ["_timestamp", "_partition", "_offset", "_idx", "unparsed_row", "reason"]
 #: Layouts that times are read by, the first that fits.
@@ -204,20 +205,44 @@ class Debezium:
 
     c and r are inserts, u an update, d a delete with the values of ``before``; a
     message without a value is the tombstone of the delete before it and is left out.
+    ``forms``: how the sender shows types that JSON has not, for envelopes with a schema block.
     """
 
     schema: T.StructType
     keys: list[str] = field(default_factory=list)
 
+    forms: ConnectForms | None = None
+
+    def _value(self, c: Column, kind: T.DataType) -> Column:
+        """A value as ``forms`` shows it, as its type again."""
+        if isinstance(kind, T.DecimalType):
+            return decimal_of_bytes(c, kind) if self.forms.decimals == "precise" else c.cast(kind)
+        if isinstance(kind, T.DateType):
+            return F.date_from_unix_date(c.cast("int"))
+        if isinstance(kind, T.TimestampNTZType):
+            micros = c.cast("bigint") * (1 if self.forms.times == "adaptive" else 1000)
+            return F.lit("1970-01-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(secs=(micros.cast("decimal(20,0)") / 1_000_000).cast("decimal(18,6)"))
+        if isinstance(kind, T.DayTimeIntervalType):
+            return F.make_dt_interval(secs=(c.cast("decimal(20,0)") / 1_000_000).cast("decimal(18,6)"))
+        if isinstance(kind, T.BinaryType):
+            return F.unbase64(c) if self.forms.binary == "bytes" else F.unhex(c)
+        if isinstance(kind, (T.StructType, T.ArrayType, T.MapType)):
+            return F.from_json(c, kind)
+        return c.cast(kind)
+
     def parse(self, messages: DataFrame) -> Parsed:
-        row = self.schema.simpleString()
-        envelope = f"struct<before:{row},after:{row},source:struct<lsn:bigint,txId:bigint,schema:string,table:string>,op:string,ts_ms:bigint>"
+        row = T.StructType([T.StructField(f.name, T.StringType()) for f in self.schema]) if self.forms else self.schema  # by form: read as text first
+        place = T.StructType().add("lsn", T.LongType()).add("txId", T.LongType()).add("schema", T.StringType()).add("table", T.StringType())
+        envelope = T.StructType().add("before", row).add("after", row).add("source", place).add("op", T.StringType()).add("ts_ms", T.LongType())
         text = F.col("value").cast("string")
         body = F.coalesce(F.get_json_object(text, "$.payload"), text)
         got = messages.where("value IS NOT NULL").withColumn("__e", F.from_json(body, envelope))
+        if self.forms:
+            typed = lambda side: F.when(F.col(f"__e.{side}").isNotNull(), F.struct(*[self._value(F.col(f"__e.{side}.`{f.name}`"), f.dataType).alias(f.name) for f in self.schema]))
+            got = got.withColumn("__e", F.col("__e").withField("before", typed("before")).withField("after", typed("after")))
         kind = F.when(F.col("__e.op").isin("c", "r"), "insert").when(F.col("__e.op") == "u", "update").when(F.col("__e.op") == "d", "delete")
         got = got.withColumn("__kind", kind)
-        value = lambda c: F.when(F.col("__kind") == "delete", F.col(f"__e.before.{c}")).otherwise(F.col(f"__e.after.{c}"))
+        value = lambda c: F.when(F.col("__kind") == "delete", F.col(f"__e.before.`{c}`")).otherwise(F.col(f"__e.after.`{c}`"))
         meta = {"_tx_id": F.col("__e.source.txId"), "_lsn": F.coalesce("__e.source.lsn", "offset").cast("bigint"), "_commit_ts_ns": F.col("__e.ts_ms") * 1_000_000, "_counter": F.lit(0), "_kind": F.col("__kind"), "_schema": F.col("__e.source.schema"), "_table": F.col("__e.source.table"), "_part_id": F.lit("")}
         old = F.when(F.col("__kind").isin("update", "delete"), F.col("__e.before")).alias("_old")
         columns = [value(f.name).alias(f.name, metadata={"key": True} if f.name in self.keys else f.metadata) for f in self.schema]

@@ -397,3 +397,36 @@ def test_text_edges(spark):
     assert row.t == "a\u0001\\n\n\\"
     with pytest.raises(Exception, match="not a value of int32"):
         spark.createDataFrame([(1.5,)], "x double").select(strictify(F.col("x"), "int32")).collect()
+
+
+def test_debezium_schema_and_types(spark):
+    """Envelopes with a schema block: decimals against Python's bytes, and there and back in each form."""
+    import base64
+    import datetime
+    import decimal
+    import json
+
+    from millrace.sources import messages as M
+
+    whole = [0, 1, -1, 127, 128, -128, -129, 255, 256, 2**63 - 1, 2**63, -(2**63), -(2**63) - 1, 2**64, -(2**64), 10**38 - 1, 1 - 10**38, None]
+    rows = []
+    for i, v in enumerate(whole):
+        d = None if v is None else decimal.Decimal(v).scaleb(-2, decimal.Context(prec=40))
+        t = None if i == 4 else datetime.datetime(1969 + i, 3, 10, 2, 30, 0, i * 1000)
+        rows.append((i, d, t, datetime.date(1960 + i, 1, 1), bytes([0, 255, i]), i / 3, [i, None], "a\"'\n"))
+    df = spark.createDataFrame(rows, "id bigint, d decimal(38,2), t timestamp_ntz, day date, b binary, x double, `a-b` array<int>, s string")
+    for forms in (serialize.ConnectForms(), serialize.ConnectForms("string", "connect", "hex")):
+        sent = serialize.debezium(C.as_changelog(df, "public", "t"), ["id"], forms=forms, name="srv.public.t")
+        found = {json.loads(r.key)["payload"]["id"]: json.loads(r.value) for r in sent.collect()}
+        assert {f["field"] for f in found[0]["schema"]["fields"]} == set(found[0]["payload"])
+        assert [f["field"] for f in found[0]["schema"]["fields"][1]["fields"]] == df.columns == list(found[0]["payload"]["after"])
+        if forms.decimals == "precise":
+            for i, v in enumerate(whole):
+                if v is not None:
+                    size = ((v if v >= 0 else ~v).bit_length() + 8) // 8
+                    assert base64.b64decode(found[i]["payload"]["after"]["d"]) == v.to_bytes(size, "big", signed=True)
+        back = M.Debezium(df.schema, ["id"], forms).parse(M.as_messages(sent, "t", F.col("value"), F.col("key")))
+        assert back.unparsed.count() == 0
+        assert back.rows.select(*[f"`{c}`" for c in df.columns]).orderBy("id").collect() == df.orderBy("id").collect()
+    with pytest.raises(ValueError):
+        serialize.ConnectForms(decimals="float")
