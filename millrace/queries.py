@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace import changelog as C
+from millrace import schema as types
 
 from millrace.operators import transforms as X
 from millrace.operators.checksum import compare
@@ -304,6 +305,39 @@ def key_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return log.select("event_id", C.key_string(log, ["event_type", "event_id"]).alias("key"))
 
 
+@query("SELECT event_id AS tx_id, 1 + (event_id % 3 = 0)::BIGINT + (event_id % 7 = 0)::BIGINT + (event_id % 11 = 0 AND event_id % 7 <> 0)::BIGINT AS events FROM events")
+def transaction_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An event and what follows on it are one transaction."""
+    log = event_changes(spark, sf_dir).withColumn("_tx_id", F.floor(F.col("_lsn") / 10))
+    return C.transactions(log).select(F.col("_tx_id").alias("tx_id"), "events")
+
+
+@query("SELECT e.event_type AS topic, e.event_id AS \"offset\" FROM events e LEFT JOIN (SELECT event_type, max(event_id) AS done FROM events WHERE event_id < 300 AND event_type <> 'error' GROUP BY event_type) w USING (event_type) WHERE done IS NULL OR e.event_id > done")
+def log_after_offset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A log table takes the messages beyond what it holds of their partition; of one topic it holds none."""
+    m = read(spark, sf_dir, "events").select(F.col("event_type").alias("topic"), F.lit(0).alias("partition"), F.col("event_id").alias("offset"))
+    return tables.after_offset(m, m.where("offset < 300 AND topic != 'error'")).select("topic", "offset")
+
+
+@query("SELECT 'o_orderkey' AS \"column\", count(*) FILTER (o_orderkey NOT BETWEEN -128 AND 127) AS violations FROM orders UNION ALL SELECT 'o_custkey', count(*) FILTER (o_custkey NOT BETWEEN 0 AND 65535) FROM orders")
+def strictness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return types.strictness(read(spark, sf_dir, "orders"), {"o_orderkey": "int8", "o_custkey": "uint16"})
+
+
+@query("SELECT event_id, value * 2 AS value FROM events WHERE event_type <> 'click'")
+def lambda_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A user's function that drops rows and changes values."""
+    step = X.Lambda(function=lambda b: b[b.event_type != "click"].assign(value=lambda x: x.value * 2)[["event_id", "value"]], schema="event_id bigint, value double")
+    return rows(step, read(spark, sf_dir, "events"))
+
+
+@query("SELECT event_id, NOT coalesce(value > 10, false) AS problem FROM events")
+def problem_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows that pass a check, and those that are put aside."""
+    got = X.ProblemItemDetector(check="value > 10").apply(read(spark, sf_dir, "events"))
+    return got.rows.select("event_id", F.lit(False).alias("problem")).unionByName(got.errors.select("event_id", F.lit(True).alias("problem")))
+
+
 # --- parsers ----------------------------------------------------------------------------------------------
 
 
